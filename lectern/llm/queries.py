@@ -6,8 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, token_counts
-from lectern.llm.common import table
+from lectern.llm import bpe, language_id, token_counts
+from lectern.llm.common import fold_is, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +32,21 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Learned from the documents of the training folds alone."""
+    return language_id.train(docs.filter(~fold_is(docs.doc_id, 5, 0)), tokenizer_path(PIECES))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_model(docs))
+    return found.select("doc_id", fold_is(found.doc_id, 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
