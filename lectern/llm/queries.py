@@ -5,8 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe, language_id, token_counts
+from lectern.llm import bpe, language_id, lm_scoring, token_counts
 from lectern.llm.common import fold_is, table
 
 
@@ -28,6 +29,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold_is(docs.doc_id, 5, 1).alias("held_out"), "text")
+    return lm_scoring.score_documents(docs, tokenizer_path(PIECES))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
@@ -45,6 +52,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op9_language_id": op9_language_id,
 }
