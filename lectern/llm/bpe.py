@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from lectern.llm.common import MEMO_ENTRIES, Memo, raw_texts, text_chunks
@@ -195,7 +196,7 @@ def loaded(path: str) -> tuple[Bpe, Memo]:
 
 def encode_documents(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns, ids array<int> and decoded string for every row of ``docs``."""
-    schema = docs.select(*keep).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return _encoded(docs, path, keep, text, schema, _full_columns)
 
 

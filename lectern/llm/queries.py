@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, html_extraction, language_id, lm_scoring, token_counts
+from lectern.llm import bpe, chat_format, decontamination, html_extraction, language_id, lm_scoring, token_counts
 from lectern.llm.common import fold_is, table
 
 
@@ -55,6 +55,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold_is(found.doc_id, 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = [(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
+    # Each turn answers the one before it.
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    rows = rows.select(F.col("conv_id").alias("conv"), number.alias("msg"), (number - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return chat_format.digest(chat_format.format_branches(chat_format.branches(rows)))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -64,6 +74,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_html_extraction": op10_html_extraction,
 }
