@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, decontamination, html_extraction, language_id, lm_scoring, quality, token_counts
+from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, lm_scoring, quality, token_counts
 from lectern.llm.common import fold_is, table
 
 
@@ -55,6 +55,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold_is(found.doc_id, 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
