@@ -200,10 +200,13 @@ def encode_documents(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("do
     return _encoded(docs, path, keep, text, schema, _full_columns)
 
 
-def encode_digests(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """As ``encode_documents``, with n_tokens and SHA-256 of ids and decoded text instead of the values."""
+def encode_digests(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_ids: bool = False) -> DataFrame:
+    """As ``encode_documents``, with n_tokens and SHA-256 of ids and decoded text; the ids only if asked for."""
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return _encoded(docs, path, keep, text, schema, _digest_columns)
+    if not with_ids:
+        return _encoded(docs, path, keep, text, schema, _digest_columns)
+    schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    return _encoded(docs, path, keep, text, schema, lambda bpe, ids: [*_digest_columns(bpe, ids), _id_column(ids)])
 
 
 def _encoded(docs, path, keep, text, schema, columns) -> DataFrame:
@@ -229,8 +232,9 @@ def _digest_columns(bpe: Bpe, ids: list[bytes]) -> list[pa.Array]:
     ]
 
 
+def _id_column(ids: list[bytes]) -> pa.Array:
+    return pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
+
+
 def _full_columns(bpe: Bpe, ids: list[bytes]) -> list[pa.Array]:
-    return [
-        pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())),
-        pa.array([bpe.decode_bytes(_ids(x)).decode() for x in ids], pa.string()),
-    ]
+    return [_id_column(ids), pa.array([bpe.decode_bytes(_ids(x)).decode() for x in ids], pa.string())]

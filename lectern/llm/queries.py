@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, lm_scoring, quality, token_counts
+from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, quality, token_counts
 from lectern.llm.common import fold_is, table
 
 
@@ -55,6 +55,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold_is(found.doc_id, 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_empty=False)
+    return found.select("doc_id", "n_lines", "n_cut", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
