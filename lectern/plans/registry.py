@@ -441,7 +441,7 @@ def chapter_blocks(spark, sf_dir):
 def answer_routing(spark, sf_dir):
     """Every question against a corpus of the documents' first lines under Indic headers; tests hold it against goldens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("અધ્યાય ૧\nશ્લોક ૧\nધર્મક્ષેત્રે કુરુક્ષેત્રે સમવેતા\nશ્લોક ૨\nસંજય ઉવાચ\n"), F.col("text")).alias("text"))
-    queries = docs.select("doc_id").crossJoin(F.broadcast(spark.createDataFrame([(i, q) for i, q in enumerate(QUESTIONS)], "n long, query string")))
+    queries = docs.select("doc_id", F.posexplode(F.array(*map(F.lit, QUESTIONS))).alias("n", "query"))
     return routing.answers(docs, queries.select((F.col("doc_id") * 100 + F.col("n")).alias("query_id"), "doc_id", "query"))
 
 
