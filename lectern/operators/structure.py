@@ -14,7 +14,12 @@ from lectern.functions import regexes as rx
 from lectern.functions import text as tx
 
 TALL, LONGEST_HEADING = 1.2, 140
-_reading = ("page_number", F.coalesce(F.get("bbox", F.lit(1)), F.lit(0)), F.coalesce(F.get("bbox", F.lit(0)), F.lit(0)), "line_no")
+
+
+def reading_order() -> list:
+    """Page, top, left, then the given order; a line without a bbox is at the top left."""
+    top, left = (F.coalesce(F.get("bbox", F.lit(i)), F.lit(0)) for i in (1, 0))
+    return [F.col("page_number"), top, left, F.col("line_no")]
 
 
 def is_bullet(c: Column) -> Column:
@@ -69,7 +74,7 @@ def assemble(classified: DataFrame) -> DataFrame:
     its own; a change of page adds a block that names the page just ended.
     """
     doc = Window.partitionBy("doc_id")
-    order = doc.orderBy(*_reading)
+    order = doc.orderBy(*reading_order())
     first_page = F.first("page_number").over(doc.orderBy("line_no"))
     df = classified.withColumns({"_page": F.coalesce(F.lag("page_number").over(order), first_page), "_type": F.lag("line_type").over(order), "_n": F.row_number().over(order)})
     turned = F.col("_page") != F.col("page_number")

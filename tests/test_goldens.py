@@ -1,0 +1,190 @@
+"""Results worked out by hand from the documented behaviour."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.cli import main, parser
+from lectern.functions import questions as qs
+from lectern.functions import text as tx
+from lectern.operators import chunking, generation, routing, search, vectors
+from lectern.plans import documents as plans
+from lectern.sources import files as src
+from lectern.sources import ocr
+from lectern.streaming.questions import answer_stream
+
+DEMO = "Chapter 1: परिचय\nDefinitions\nThe textbook explains multilingual knowledge extraction.\n- Point 1: Clean the OCR text.\n- Point 2: Preserve headings and bullet points.\n\nવિષયવસ્તુ\nઆ પુસ્તકમાં Gujarati, English, અને Sanskrit mixed content છે.\n- મહત્વપૂર્ણ વિચાર 1\n- મહત્વપૂર્ણ વિચાર 2"
+TRANSCRIPT = "# ગીતા (UTF-8)\n# 2) શ્લોક નંબર સાથે લખો.\n\nઅધ્યાય ૧\nશ્લોક ૧\nધૃતરાષ્ટ્ર ઉવાચ\nમામકાઃ ॥૧॥\n\nશ્લોક ૨\nસંજય ઉવાચ\nઆચાર્યમ્ ॥૨॥\n"
+
+
+def docs(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_demo_blocks(spark):
+    rows = plans.text_blocks(docs(spark, DEMO)).orderBy("block_no").collect()
+    assert [(r.block_type, r.level) for r in rows] == [("heading", 1), ("heading", 2), ("paragraph", None), ("bullet", None), ("bullet", None), ("heading", 2), ("paragraph", None), ("bullet", None), ("bullet", None)]
+    assert rows[3].text == "Point 1: Clean the OCR text."
+
+
+def test_demo_chunks_share_their_compatible_id(spark):
+    markdown = plans.process_text(docs(spark, DEMO)).withColumnRenamed("markdown", "text")
+    rows = chunking.structural_chunks(chunking.markdown_blocks(markdown), chunking.ChunkConfig(80, 20), F.lit("sample_textbook")).orderBy("chunk_no").collect()
+    assert [r.chunk_id for r in rows] == ["sample_textbook-chunk-1"] * 2
+    assert [r.section_path for r in rows] == [["Chapter 1: परिचय", "Definitions"], ["Chapter 1: परिचय", "વિષયવસ્તુ"]]
+    queries = spark.createDataFrame([(1, 0, "What should we do to clean OCR text?")], "query_id long, doc_id long, text string")
+    hits = search.keyword_search(spark.createDataFrame(rows), queries, "doc_id", "chunk_no").collect()
+    assert [(h.chunk_no, h.score) for h in hits] == [(1, 0.6)]
+    found = plans.answer(markdown, queries, config=chunking.ChunkConfig(80, 20)).first()
+    assert (found.answer.split("  ")[0].startswith("The textbook") or "Point 1" in found.answer) and found.method == "semantic+extractive"
+
+
+@pytest.mark.parametrize("strict,wanted", [(False, [["A"], ["A", "B"], ["A", "C"], ["A", "C", "D"], ["A", "C", "D", "E"]]), (True, [["A"], ["B"], ["C"], ["C", "D"], ["C", "E"]])])
+def test_section_paths_slice_by_position(spark, strict, wanted):
+    blocks = chunking.markdown_blocks(docs(spark, "## A\nx\n## B\nx\n## C\nx\n#### D\nx\n#### E\nx"))
+    rows = chunking.section_paths(blocks, strict).orderBy("section").collect()
+    assert [r.section_path for r in rows] == wanted
+
+
+def test_token_windows_at_the_budget(spark):
+    config = chunking.ChunkConfig(5, 2)
+    rows = docs(spark, "a b  c d e", "a b c d e f", "").select(chunking.token_windows(F.col("text"), config)).collect()
+    assert [r[0] for r in rows] == [["a b  c d e"], ["a b c d e", "d e f"], [""]]
+
+
+def test_pages_of_chunks_accumulate(spark):
+    rows = [(0, i, t, x, None, p) for i, (t, x, p) in enumerate([("heading", "H", 1), ("paragraph", "a b c", 1), ("page_break", "Page 1", 1), ("paragraph", "d e", 2), ("heading", "", 3), ("paragraph", "f", 3)])]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_no int, block_type string, text string, level int, page_number int")
+    found = chunking.structural_chunks(blocks, chunking.ChunkConfig(3, 1)).orderBy("chunk_no").collect()
+    assert [(r.text, r.page_numbers, r.chunk_id) for r in found] == [("a b c", [1], "document-chunk-1"), ("d e", [1, 2, 3], "document-chunk-2"), ("f", [1, 2, 3], "document-chunk-2")]
+
+
+def test_page_break_names_the_page_just_ended(spark):
+    from lectern.operators import structure
+
+    lines = spark.createDataFrame([(0, 1, 0, "one is here.", None, None), (0, 1, 1, "two goes on.", None, None), (0, 2, 2, "three is next.", None, None)], "doc_id long, page_number int, line_no int, text string, bbox array<int>, confidence double")
+    rows = structure.assemble(structure.classify(lines)).orderBy("block_no").collect()
+    assert [(r.block_type, r.text) for r in rows] == [("paragraph", "one is here. two goes on."), ("page_break", "Page 1"), ("paragraph", "three is next.")]
+    assert structure.render_markdown(structure.assemble(structure.classify(lines))).first().markdown == "one is here. two goes on.\n\n\n---\n\n> Page 1\n\nthree is next."
+
+
+@pytest.mark.parametrize("query,number,chapter,intent,expanded", [
+    ("aama 1 shlok kayo che ?", 1, None, False, "aama આમાં 1 shlok શ્લોક kayo કયો che છે ?"),
+    ("શ્લોક ૨", 2, None, False, "શ ્ લ ો ક ૨"),
+    ("pehlo shlok", None, 1, False, "pehlo shlok શ્લોક"),
+    ("bijo adyay su kehva mange che ?", 2, 2, True, "bijo adyay su kehva mange che છે ?"),
+    ("adhyay 3 meaning", 3, 3, True, "adhyay અધ્યાય 3 meaning"),
+    ("what should be shlok", 2, None, False, "what should be shlok શ્લોક"),
+    ("3 adhyay matlab", 3, None, True, "3 adhyay અધ્યાય matlab"),
+])
+def test_questions(spark, query, number, chapter, intent, expanded):
+    q = F.col("q")
+    row = spark.createDataFrame([(query,)], "q string").select(qs.requested_number(q), qs.requested_chapter(q), qs.chapter_intent(q), qs.expanded(q)).first()
+    assert tuple(row) == (number, chapter, intent, expanded)
+
+
+@pytest.mark.parametrize("text,garbled,preferred", [("", True, False), ("  ", True, False), ("plain ascii words", False, False), ("શ્લોક ૧", False, True), ("ÐØÆ mojibake", True, False), ("naïve café résumé", True, False), ("શ્લોક ÐØÆ", True, False)])
+def test_scripts(spark, text, garbled, preferred):
+    row = spark.createDataFrame([(text,)], "t string").select(tx.garbled(F.col("t")), tx.preferred_script(F.col("t"))).first()
+    assert tuple(row) == (garbled, preferred)
+
+
+def test_normalisation(spark):
+    row = spark.createDataFrame([("ﬁne exam-\nple\n  Page 12 \nx\t y ",)], "t string").select(tx.normalize_text(F.col("t"))).first()
+    assert row[0] == "fine example\n\nx y"
+
+
+def asked(spark, *texts):
+    return spark.createDataFrame([(i, 0, q) for i, q in enumerate(texts)], "query_id long, doc_id long, query string")
+
+
+QUESTIONS = ("aama 1 shlok kayo che ?", "aama 2 shlok kayo che ?", "pehlo adyay su kehva mange che ?", "bijo adyay su kehva mange che ?", "aama 9 shlok kayo che ?")
+
+
+def test_routes(spark):
+    got = {r.query_id: (r.mode, r.responses) for r in routing.answers(docs(spark, TRANSCRIPT), asked(spark, *QUESTIONS)).collect()}
+    assert got[0] == ("exact-shlok-block", ["શ્લોક ૧\nધૃતરાષ્ટ્ર ઉવાચ\nમામકાઃ ॥૧॥"])
+    assert got[1] == ("exact-shlok-block", ["# 2) શ્લોક નંબર સાથે લખો.\nઅધ્યાય ૧", "શ્લોક ૨\nસંજય ઉવાચ\nઆચાર્યમ્ ॥૨॥"])
+    assert got[2][0] == "exact-chapter-block" and got[2][1][0].startswith("અધ્યાય ૧\nશ્લોક ૧")
+    assert got[3] == ("chapter-not-found", list(routing.CHAPTER_NOT_FOUND))
+    assert got[4][0] == "semantic-verbatim-snippet"
+    empty = routing.answers(docs(spark, "no such script"), asked(spark, "what")).first()
+    assert (empty.mode, empty.responses) == ("not-found-or-low-quality", list(routing.NOT_FOUND))
+
+
+def test_keyword_route_needs_a_score_cut_off(spark):
+    got = routing.answers(docs(spark, TRANSCRIPT), asked(spark, "ઉવાચ zzz"), min_score=2.0).first()
+    assert got.mode == "keyword-line-match"
+
+
+def test_stream_answers_as_batches_do(spark, tmp_path):
+    questions = asked(spark, *QUESTIONS, " ", "EXIT")
+    questions.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(questions.schema).parquet(str(tmp_path / "in"))
+    corpus = docs(spark, TRANSCRIPT)
+    answer_stream(stream, corpus, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    got = sorted((r.query_id, r.mode, r.responses) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((r.query_id, r.mode, r.responses) for r in routing.answers(corpus, asked(spark, *QUESTIONS)).collect())
+
+
+def test_generation(spark):
+    rows = spark.createDataFrame([(0, "q", "m", ["e"]), (1, "q", "m", []), (2, "boom", "m", ["e"])], "query_id long, query string, mode string, responses array<string>")
+
+    def client(prompt):
+        if "boom" in prompt:
+            raise ValueError("no")
+        return " yes "
+
+    got = [(r.mode, r.llm_answer, r.llm_error) for r in generation.with_generation(rows, client).orderBy("query_id").collect()]
+    assert got == [("m+gemini", "yes", None), ("m", None, None), ("m", None, "Gemini failed: no")]
+    assert generation.with_generation(rows, client, has_key=False).filter("query_id = 0").first().llm_error == generation.NO_KEY
+    assert generation.with_generation(rows, client, use_llm=False).filter("llm_answer IS NOT NULL OR llm_error IS NOT NULL").count() == 0
+
+
+def test_model_embedding_is_normalised(spark):
+    import numpy as np
+
+    got = vectors.model_embed(docs(spark, "ab", ""), lambda: lambda texts: np.array([[len(t), 0.0] for t in texts])).collect()
+    assert [r.embedding for r in got] == [[1.0, 0.0], [0.0, 0.0]]
+    dense = docs(spark, "a b a", "").select(vectors.hash_embed(F.col("text"), 8).alias("v")).collect()
+    assert abs(sum(x * x for x in dense[0].v) - 1) < 1e-9 and dense[1].v == [0.0] * 8
+
+
+def test_sources(spark, tmp_path):
+    for name, data in (("book.pdf", b"%PDF"), ("notes.txt", b"n"), ("my book clean.md", b"ab\xffcd "), ("transcript.txt", b"t")):
+        (tmp_path / name).write_bytes(data)
+    listed = src.list_files(spark, str(tmp_path))
+    pdfs = src.first_pdf(listed)
+    assert pdfs.first().path.endswith("book.pdf")
+    chosen = src.choose_transcripts(listed, pdfs)
+    assert chosen.first().path.endswith("clean.md")
+    text = src.transcripts(src.read_files(spark, str(tmp_path)).join(chosen.select("path"), "path")).first()
+    assert text.text == "abcd"
+    assert src.choose_transcripts(listed, pdfs.limit(0)).first().path.endswith("transcript.txt")
+
+
+def test_ocr_with_an_injected_engine(spark, monkeypatch):
+    monkeypatch.setattr(ocr, "pages_of", lambda content, name, dpi: [content])
+    files = spark.createDataFrame([(7, "a.png", b"xy")], "doc_id long, source_name string, content binary")
+    assert ocr.find_tesseract(()) is None or isinstance(ocr.find_tesseract(()), str)
+    assert ocr.recognised_words(files.limit(0), read=lambda image, languages: []).count() == 0
+    box = spark.createDataFrame([([[3.0, 1.0], [9.0, 1.5], [9.0, 4.0], [3.0, 4.0]],)], "p array<array<double>>").select(ocr.polygon_bbox(F.col("p"))).first()[0]
+    assert box == [3, 1, 9, 4]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "transcript.txt").write_text(TRANSCRIPT, encoding="utf-8")
+    assert main(["--data-dir", str(tmp_path), "--query", QUESTIONS[0]]) == 0
+    out = capsys.readouterr().out
+    assert "Mode: exact-shlok-block" in out and "ધૃતરાષ્ટ્ર" in out
+    assert parser().parse_args([]).ocr_backend == "tesseract"
+    assert main(["--data-dir", str(tmp_path), "--use-llm", "--query", QUESTIONS[0]]) == 0
+
+
+def test_no_bare_classes_in_text_functions():
+    import re
+    from pathlib import Path
+
+    import lectern.functions.text as module
+
+    body = Path(module.__file__).read_text()
+    assert not re.search(r"\\[wsbd]|initcap", body)
