@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import forget, stored
 
 WORDS_RE, BLANK_RE, SYMBOL_RE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 #: Features and the least standard deviation each is taken to have.
@@ -133,7 +133,9 @@ def robust_estimates(rows: DataFrame, dims: list[str], share: float = SHARE, ste
 def judged(docs: DataFrame, *, quantile: float = QUANTILE, doc_id: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """Statistics, base_failed, the squared distance and kept for every row of ``docs``."""
     dims = list(FLOORS)
-    rows = stored(vectors(statistics(docs, keep=(doc_id, lang, source), text=text), lang, source), "quality")
+    stats = stored(statistics(docs, keep=(doc_id, lang, source), text=text), "statistics")
+    rows = stored(vectors(stats, lang, source), "quality")
+    forget(stats)
     params = robust_estimates(rows.filter("NOT base_failed").select("group", *dims), dims)
     out = rows.join(params, "group", "left").withColumn("distance", distance(dims))
     near = F.coalesce(F.col("distance") <= chi2_quantile(quantile, len(dims)), F.lit(False))
