@@ -51,6 +51,16 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The most that is broadcast; beyond it Spark joins by shuffling both sides.
+BROADCAST_BYTES = 32 << 20
+
+
+def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A ``stored`` table marked for broadcast if its measured size allows, else as it is."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
