@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -95,4 +96,27 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_CONTROLS = "|".join(map(re.escape, chat_format.CONTROL)).replace("'", "''")
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS pos0 FROM b WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id::VARCHAR AS item, w[pos0 + 1 : pos0 + 10] AS win FROM i),
+n AS (SELECT DISTINCT len(win) AS n FROM q),
+p AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS pos0 FROM d, n WHERE len(w) >= n),
+h AS (SELECT doc_id, pos0, n, item FROM (SELECT doc_id, pos0, n, w[pos0 + 1 : pos0 + n] AS win FROM p) JOIN q USING (win)),
+k AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(pos0, pos0 + n)) AS pos FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op8_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat_format.START) + len(chat_format.STOP) + 2} + length(role) + length(text) + length(text) - length(replace(text, '\\', '')) + len(regexp_extract_all(text, '{_CONTROLS}')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+}
