@@ -35,11 +35,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, *, large: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Only ``large`` tables are compressed: each column of each file takes native memory for that.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd" if large else "uncompressed").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -242,7 +242,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, *, window: int
     for items in query_blocks(benchmark, block_bytes=block_bytes):
         windows = query_windows(items, window)
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words in windows for w in words))}
-        index = stored(build_index(docs, vocabulary), "postings")
+        index = stored(build_index(docs, vocabulary), "postings", large=True)
         found.append(phrase_matches(index, {tuple(vocabulary[w] for w in words): names for words, names in windows.items()}))
     if len(found) == 1:
         return found[0]

@@ -146,8 +146,8 @@ def score_documents(docs: DataFrame, path: str, *, rounds: int = 2, part_bytes:
     """Scores for ``docs`` (doc_id long, held_out boolean, text); learns from rows that are not held out."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    index = stored(postings(docs, parts), "lm-postings")
-    counts = stored(word_counts(index, parts), "lm-counts")
+    index = stored(postings(docs, parts), "lm-postings", large=True)
+    counts = stored(word_counts(index, parts), "lm-counts", large=True)
     ends = index.filter("part = -1").agg(F.sum("n_train")).first()[0] or 0
     n, v = counts.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
