@@ -14,6 +14,8 @@ from lectern.sources import files as src
 from lectern.sources import ocr
 
 FAILED = "extraction-failed"
+# The answer where no text can be read.
+NO_TEXT = ("માફ કરશો, આ ફાઇલમાંથી વાંચી શકાય એવો સાફ લખાણ મળ્યો નથી.", "કૃપા કરીને /data માં UTF-8 transcript.txt અથવા .md ઉમેરો, અથવા વધુ સ્પષ્ટ PDF/ઈમેજ આપો.")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -61,7 +63,7 @@ def load(spark: SparkSession, data_dir: str, backend: str) -> DataFrame:
 
 
 def render(answer) -> str:
-    lines = []
+    lines = [f"Note: {answer.llm_error}", ""] if answer.llm_error else []
     if answer.llm_answer and answer.llm_answer.strip():
         lines += ["LLM Answer:", "-" * 40, answer.llm_answer.strip(), ""]
     lines += [f"Mode: {answer.mode}", "Output from file:"]
@@ -72,10 +74,12 @@ def render(answer) -> str:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if not (args.query or args.interactive):
+        parser().error("Provide --query or use --interactive")
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     docs = load(spark, args.data_dir, args.ocr_backend).cache()
     if not docs.filter("text <> ''").limit(1).count():
-        print(f"Mode: {FAILED}")
+        print("\n".join([f"Mode: {FAILED}", "Output from file:", "-" * 40, *NO_TEXT]))
         return 1
 
     def ask(question: str) -> None:

@@ -30,7 +30,6 @@ def l2_normalize(v: Column) -> Column:
 def hash_embed(text: Column, dim: int = DIM) -> Column:
     """L2-normalised bag of lower-cased words over ``dim`` hash buckets; without words the zero vector."""
     at = F.transform(tx.terms(text), lambda t: bucket(t, dim))
-    # One pass over the sorted buckets, each entry placed with its count.
     zero = F.array_repeat(F.lit(0.0), dim)
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda b: b == i)).cast("double"))
     return l2_normalize(F.when(F.size(at) == 0, zero).otherwise(counts))

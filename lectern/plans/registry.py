@@ -208,7 +208,7 @@ def page_median_height(spark, sf_dir):
     return structure.page_median_heights(ocr_lines(spark))
 
 
-@query(f"WITH {WORDS_SQL}, pages AS (SELECT * FROM (VALUES (1::BIGINT, 1), (1, 2), (1, 3), (2, 1), (2, 2)) v(doc_id, page_number)) SELECT doc_id, page_number, 'No text detected on page ' || page_number || '.' AS note FROM pages ANTI JOIN ocr USING (doc_id, page_number)")
+@query(f"WITH {WORDS_SQL}, pages AS (SELECT * FROM (VALUES (1::BIGINT, 1), (1, 2), (1, 3), (2, 1), (2, 2)) v(doc_id, page_number)) SELECT doc_id, page_number, 'Page ' || page_number || ': no OCR lines found; check scan quality or OCR backend availability.' AS note FROM pages ANTI JOIN ocr USING (doc_id, page_number)")
 def pages_without_lines(spark, sf_dir):
     pages = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)], "doc_id long, page_number int")
     return src.pages_without_lines(pages, ocr_lines(spark))

@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions import regexes as rx
 from lectern.functions import text as tx
 
-TEXT_NOTE = "Text input was used directly without OCR."
+# Notes of results.
+TEXT_NOTE = "Used text-only fallback. Swap in OCR backends for real scans."
+PAGE_NOTE = "Page %d: no OCR lines found; check scan quality or OCR backend availability."
+TEXT_BACKEND = "text-fallback"
 
 
 @F.pandas_udf(T.StringType())
@@ -39,8 +43,6 @@ def transcripts(files: DataFrame) -> DataFrame:
 
 def text_lines(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """Lines of plain text as OCR would give them: page 1, no bbox, no confidence; blanks dropped."""
-    from lectern.functions import regexes as rx
-
     lines = docs.select(*keep, F.posexplode(F.split(text, rx.LINE)).alias("line_no", "text")).withColumn("text", tx.strip(F.col("text"))).filter("text <> ''")
     return lines.select(*keep, F.lit(1).alias("page_number"), "line_no", "text", F.lit(None).cast("array<int>").alias("bbox"), F.lit(None).cast("double").alias("confidence"))
 
@@ -82,4 +84,4 @@ def choose_text(sources: DataFrame) -> DataFrame:
 def pages_without_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, page_number, note of pages on which nothing was read."""
     missing = pages.join(lines.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
-    return missing.select("doc_id", "page_number", F.concat(F.lit("No text detected on page "), "page_number", F.lit(".")).alias("note"))
+    return missing.select("doc_id", "page_number", F.format_string(PAGE_NOTE, "page_number").alias("note"))

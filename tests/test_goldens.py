@@ -171,6 +171,18 @@ def test_ocr_with_an_injected_engine(spark, monkeypatch):
     assert box == [3, 1, 9, 4]
 
 
+def test_results_carry_notes(spark):
+    texts = docs(spark, DEMO, "").withColumn("source_name", F.lit("a.txt"))
+    rows = {r.doc_id: r for r in plans.text_results(texts).collect()}
+    assert rows[0].markdown.startswith("# Chapter 1: परिचय\n\n## Definitions") and rows[1].markdown == ""
+    assert (rows[0].ocr_backend, rows[0].notes, rows[0].page_count) == ("text-fallback", [src.TEXT_NOTE], 1)
+    pages = spark.createDataFrame([(0, "s.pdf", p) for p in (1, 2, 3)], "doc_id long, source_name string, page_number int")
+    lines = spark.createDataFrame([(0, 1, 0, "ends here and", None, None), (0, 3, 0, "goes on there.", None, None)], "doc_id long, page_number int, line_no int, text string, bbox array<int>, confidence double")
+    row = plans.scan_results(pages, lines, "tesseract").first()
+    assert (row.page_count, row.markdown) == (3, "ends here and\n\ngoes on there.")
+    assert row.notes == ["Page 2: no OCR lines found; check scan quality or OCR backend availability."]
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "transcript.txt").write_text(TRANSCRIPT, encoding="utf-8")
     assert main(["--data-dir", str(tmp_path), "--query", QUESTIONS[0]]) == 0
