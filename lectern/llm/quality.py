@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import forget, stored
+from lectern.llm.common import checked, forget, stored
 
 WORDS_RE, BLANK_RE, SYMBOL_RE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 #: Features and the least standard deviation each is taken to have.
@@ -78,7 +78,7 @@ def vectors(stats: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     pooled = sizes.withColumn("_pool", F.when(F.col("n") >= LEAST, F.col("_g")))
     rest = sizes.filter(F.col("n") < LEAST).groupBy("_l").agg(F.sum("n").alias("rest"))
     pooled = pooled.join(rest, "_l", "left").select("_g", F.coalesce("_pool", F.when(F.col("rest") >= LEAST, F.col("_l")), F.lit("*")).alias("group"))
-    return df.join(pooled, "_g").drop("_g", "_l")
+    return df.join(checked(stored(pooled, "groups")), "_g").drop("_g", "_l")
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -116,7 +116,7 @@ def robust_estimates(rows: DataFrame, dims: list[str], share: float = SHARE, ste
     """The estimate of each group: m_i, l_ij.  ``rows`` has group and the features."""
     start = rows.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(dims)))
     start = start.select("*", *((F.lit(0.0)).alias(f"s{i}{j}") for i in range(len(dims)) for j in range(i + 1)))
-    params = stored(factored(start, dims), "mcd")
+    params = checked(stored(factored(start, dims), "mcd"))
     scale = share / chi2_cdf(chi2_quantile(share, len(dims)), len(dims) + 2)
     order = Window.partitionBy("group").orderBy("bin")
     for _ in range(steps):
@@ -124,9 +124,9 @@ def robust_estimates(rows: DataFrame, dims: list[str], share: float = SHARE, ste
         bins = near.groupBy("group", "bin").agg(F.count("*").alias("n"))
         total = F.sum("n").over(Window.partitionBy("group"))
         cut = bins.select("group", "bin", (F.sum("n").over(order) >= share * total).alias("enough")).filter("enough").groupBy("group").agg(F.min("bin").alias("cut"))
-        core = near.join(cut, "group").filter("bin <= cut")
+        core = near.join(checked(stored(cut, "cut")), "group").filter("bin <= cut")
         moments = core.groupBy("group").agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(dims)), *((scale * F.covar_pop(x, y)).alias(f"s{i}{j}") for i, x in enumerate(dims) for j, y in enumerate(dims[: i + 1])))
-        params = stored(factored(moments, dims), "mcd")
+        params = checked(stored(factored(moments, dims), "mcd"))
     return params
 
 
