@@ -35,13 +35,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, *, large: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, *, large: bool = False, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
     Only ``large`` tables are compressed: each column of each file takes native memory for that.
+    ``files`` bounds the number of files of a table whose size is known.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df = df if files is None else df.coalesce(files)
     df.write.option("compression", "zstd" if large else "uncompressed").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,6 +13,8 @@ from lectern.llm.common import forget, partitions, stored
 
 #: Nodes of one block: a task compares two blocks of a family at most.
 BLOCK = 256
+#: Edges for each file of the tables that a round of ``components`` writes.
+EDGES_A_FILE = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,12 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
     very many edges is no task of its own.  Only a count reaches the driver.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    files = 1 + both.count() // EDGES_A_FILE
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels", files=files)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         low = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         above = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        new = stored(low.join(above, F.col("low") == F.col("_n")).select("node", "old", F.least("low", "_c").alias("component")), "labels")
+        new = stored(low.join(above, F.col("low") == F.col("_n")).select("node", "old", F.least("low", "_c").alias("component")), "labels", files=files)
         changed = new.filter("old <> component").limit(1).count()
         forget(labels)
         labels = new.select("node", "component")
