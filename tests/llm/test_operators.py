@@ -283,6 +283,20 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.deduplicated(empty(spark)).count() == 0
 
 
+def test_fuzzy_lines_of_ordinary_length_are_found(spark):
+    """Against plain edit similarity, with no filter: one word of a line changed."""
+    r, lines = random.Random(6), []
+    for i in range(400):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 8))) for _ in range(r.randrange(5, 51))]
+        lines.append((" ".join(words), near(" ".join(words), r.randrange(len(words)))))
+    pairs = [(a, b) for a, b in lines if levenshtein(a, b) <= 0.15 * max(len(a), len(b))]
+    docs = table(spark, [x for pair in pairs for x in pair]).select("doc_id", "text")
+    cut = {x.doc_id for x in line_dedup.deduplicated(docs, drop_empty=False).filter("n_cut > 0").collect()}
+    found = sum(2 * i + 1 in cut for i in range(len(pairs)))
+    assert len(pairs) > 300 and not any(2 * i in cut for i in range(len(pairs)))
+    assert found >= 0.98 * len(pairs)
+
+
 # --- Language models ----------------------------------------------------------------
 
 
