@@ -283,18 +283,26 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.deduplicated(empty(spark)).count() == 0
 
 
+def test_every_line_takes_part_in_exact_deduplication(spark):
+    lines = ["All rights reserved.", "Step 1", "12 345 67", "你好世界，今天天气很好", "***", "Step 2"]
+    docs = table(spark, ["\n".join([*lines[:5], "first own", "", " "]), "\n".join([*lines, "second own", "", " "])]).select("doc_id", "text")
+    got = {r.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
+    assert got[0].n_cut == 0 and got[1].text == "Step 2\nsecond own\n\n " and got[1].n_cut == 5
+
+
 def test_fuzzy_lines_of_ordinary_length_are_found(spark):
-    """Against plain edit similarity, with no filter: one word of a line changed."""
+    """Against plain edit similarity, with no filter: one word of a line changed, and a line without spaces."""
     r, lines = random.Random(6), []
     for i in range(400):
         words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 8))) for _ in range(r.randrange(5, 51))]
         lines.append((" ".join(words), near(" ".join(words), r.randrange(len(words)))))
+    lines.append(("".join(chr(0x4E00 + 7 * k) for k in range(60)), "".join(chr(0x4E00 + 7 * k + (k == 30)) for k in range(60))))
     pairs = [(a, b) for a, b in lines if levenshtein(a, b) <= 0.15 * max(len(a), len(b))]
     docs = table(spark, [x for pair in pairs for x in pair]).select("doc_id", "text")
     cut = {x.doc_id for x in line_dedup.deduplicated(docs, drop_empty=False).filter("n_cut > 0").collect()}
     found = sum(2 * i + 1 in cut for i in range(len(pairs)))
     assert len(pairs) > 300 and not any(2 * i in cut for i in range(len(pairs)))
-    assert found >= 0.98 * len(pairs)
+    assert found >= 0.98 * len(pairs) and 2 * len(pairs) - 1 in cut
 
 
 # --- Language models ----------------------------------------------------------------
