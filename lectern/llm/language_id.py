@@ -94,21 +94,39 @@ def _uses(labelled: DataFrame, path: str, step: np.ndarray, languages: tuple[str
     return labelled.mapInArrow(run, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n")).collect()
 
 
-def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns, lang_pred and score for every row."""
+def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", least: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """``keep`` columns, lang_pred and score for every row; with ``least_fits``, texts that fit worse are undetermined."""
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "_text"):
-            predicted, score = predict(model, raw_texts(chunk.column("_text")))
+            predicted, score = predict(model, raw_texts(chunk.column("_text")), least)
             yield pa.RecordBatch.from_arrays([*(chunk.column(k) for k in keep), pa.array(predicted, pa.string()), pa.array(score)], names=schema.names)
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+def predict(model: Model, texts: list[bytes], least: dict[str, tuple[float, float]] | None = None) -> tuple[list[str], np.ndarray]:
     if not model.languages:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    sums = log_likelihoods(model, texts)
+    fit = sums.max(axis=1)
+    sums -= sums.max(axis=1, keepdims=True)
+    share = np.exp(sums)
+    share /= share.sum(axis=1, keepdims=True)
+    best = share.argmax(axis=1)
+    known = [LETTER.search(raw.decode("utf-8", "replace")) is not None for raw in texts]
+    if least is not None:
+        size = characters(texts)
+        middle, spread = (np.array([least.get(x, (-np.inf, 1.0))[k] for x in model.languages])[best] for k in (0, 1))
+        # The spread of a mean over fewer characters is wider.
+        wider = np.sqrt(FIT_CHARS / np.clip(size, 1, FIT_CHARS))
+        known = (known & (fit / np.maximum(size, 1) >= middle - (1 + FIT_SPREAD) * spread * wider)).tolist()
+    return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, share[np.arange(len(best)), best], 0.0)
+
+
+def log_likelihoods(model: Model, texts: list[bytes]) -> np.ndarray:
+    """Log probability of each text in each language."""
     if model.key not in _scores:
         _scores.clear()
         _scores[model.key] = lat.WordScores(lat.loaded(model.path), model.step)
@@ -118,9 +136,43 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     sums = np.zeros((len(texts), len(model.languages)))
     if full := np.flatnonzero(sizes).tolist():
         sums[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full], axis=0)
-    sums -= sums.max(axis=1, keepdims=True)
-    share = np.exp(sums)
-    share /= share.sum(axis=1, keepdims=True)
-    best = share.argmax(axis=1)
-    known = [LETTER.search(raw.decode("utf-8", "replace")) is not None for raw in texts]
-    return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, share[np.arange(len(best)), best], 0.0)
+    return sums
+
+
+#: Quantile of the training documents' fits, and the characters that a text counts as at most: shorter ones vary more.
+FIT_QUANTILE, FIT_CHARS = 0.25, 200
+#: Quartile distances below the lower quartile (a normal fit's standard deviation is 1.48 of them).
+FIT_SPREAD, FIT_BINS = 5.0, 100
+
+
+def characters(texts: list[bytes]) -> np.ndarray:
+    """The characters of each text that are not white space."""
+    return np.array([len("".join(raw.decode("utf-8", "replace").split())) for raw in texts], np.float64)
+
+
+def least_fits(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train_docs: int = 20_000) -> dict[str, tuple[float, float]]:
+    """Median, and distance of the lower quartile, of the fits of each language's training documents of ``FIT_CHARS`` or more."""
+    labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isin(list(model.languages)))
+    share = max_train_docs / max(1, labelled.count())
+    if share < 1:
+        labelled = labelled.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for chunk in text_chunks(batches, "_text"):
+            texts = raw_texts(chunk.column("_text"))
+            size = characters(texts)
+            fit = log_likelihoods(model, texts) / np.maximum(size, 1)[:, None]
+            for i, language in enumerate(chunk.column("_lang").to_pylist()):
+                if size[i] >= FIT_CHARS:
+                    total[language, int(np.floor(fit[i, model.languages.index(language)] * FIT_BINS))] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["lang", "bin", "n"])
+
+    rows = labelled.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+    out = {}
+    for language in model.languages:
+        bins, n = np.array(sorted((r.bin, r.n) for r in rows if r.lang == language), np.int64).reshape(-1, 2).T
+        if len(bins):
+            low, middle = (bins[np.searchsorted(np.cumsum(n), q * n.sum())] / FIT_BINS for q in (FIT_QUANTILE, 0.5))
+            out[language] = float(middle), float(max(middle - low, 2 / FIT_BINS))
+    return out
