@@ -5,7 +5,7 @@ word length, and the square roots of its shares of symbols, of repeated lines
 and of words in repeated three-word windows.  For every language and source a
 minimum-covariance-determinant estimate is made by concentration steps: from
 medians on, the ``SHARE`` of documents with the least Mahalanobis distance gives
-the next mean and covariance.  Documents beyond a chi-squared quantile of the
+the next mean and covariance, until the core no longer changes (``STEPS`` at most).  Documents beyond a chi-squared quantile of the
 final distance are rejected, besides those that fail the base rules.
 
 Steps reduce a group to a histogram of distances and to sums, both mergeable, so
@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from lectern.llm.common import checked, forget, stored
 
 WORDS_RE, BLANK_RE, SYMBOL_RE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
-#: Features and the least standard deviation each is taken to have.
-FLOORS = {"x0": 0.06, "x1": 0.06, "x2": 0.18, "x3": 0.18}
-SHARE, STEPS, LEAST, QUANTILE = 0.75, 4, 40, 0.9999
+#: Features and the least standard deviation each is taken to have: 6 percent of a word for x0, one unit in about 300 for x1, in 100 for x2 and x3.
+FLOORS = {"x0": 0.06, "x1": 0.06, "x2": 0.1, "x3": 0.1}
+SHARE, STEPS, LEAST, QUANTILE = 0.75, 30, 40, 0.999
+#: Change of the estimates below which the core counts as settled.
+SETTLED = 1e-9
 #: Histogram bins for a factor e of the squared distance.
 BINS = 32
 
@@ -104,7 +106,7 @@ def distance(dims: list[str]) -> Column:
 
 def factored(moments: DataFrame, dims: list[str]) -> DataFrame:
     """group, m_i and the Cholesky factor l_ij of the covariance s_ij, the variances not below their floors."""
-    df = moments.withColumns({f"s{i}{i}": F.col(f"s{i}{i}") + FLOORS[x] ** 2 for i, x in enumerate(dims)})
+    df = moments.withColumns({f"s{i}{i}": F.greatest(F.col(f"s{i}{i}"), F.lit(FLOORS[x] ** 2)) for i, x in enumerate(dims)})
     for i in range(len(dims)):
         for j in range(i + 1):
             rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"s{i}{j}"))  # noqa: B023
@@ -126,7 +128,11 @@ def robust_estimates(rows: DataFrame, dims: list[str], share: float = SHARE, ste
         cut = bins.select("group", "bin", (F.sum("n").over(order) >= share * total).alias("enough")).filter("enough").groupBy("group").agg(F.min("bin").alias("cut"))
         core = near.join(checked(stored(cut, "cut")), "group").filter("bin <= cut")
         moments = core.groupBy("group").agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(dims)), *((scale * F.covar_pop(x, y)).alias(f"s{i}{j}") for i, x in enumerate(dims) for j, y in enumerate(dims[: i + 1])))
-        params = checked(stored(factored(moments, dims), "mcd"))
+        old, params = params, checked(stored(factored(moments, dims), "mcd"))
+        names = [c for c in params.columns if c != "group"]
+        moved = params.join(old.select("group", *(F.col(c).alias(f"_{c}") for c in names)), "group").filter(reduce(lambda a, c: a | (F.abs(F.col(c) - F.col(f"_{c}")) > SETTLED), names, F.lit(False)))
+        if moved.isEmpty():
+            break
     return params
 
 

@@ -388,6 +388,23 @@ def test_quality_rules(spark):
     assert quality.judged(empty(spark)).count() == 0
 
 
+def test_repeats_alone_make_outliers(spark):
+    """Where a group has next to none, repeated lines and words within the base rules are rejected."""
+    texts = [prose(3000 + s, 80) for s in range(150)]
+    for s in range(5):
+        own = prose(4000 + s, 100).split()
+        texts.append("\n".join(f"{' '.join(own[i : i + 5])}\nok" if i < 55 else " ".join(own[i : i + 5]) for i in range(0, 100, 5)))
+    for s in range(5):
+        again = " ".join(prose(5000 + s, 15).split())
+        texts.append(f"{again} {prose(5100 + s, 40)} {again} {prose(5200 + s, 30)}")
+    got = {r.doc_id: r for r in quality.judged(table(spark, texts)).collect()}
+    for i in range(150, 160):
+        assert not got[i].base_failed and not got[i].kept
+    assert all(0.3 <= got[i].n_dup_lines / 31 <= 0.75 and got[i].n_repeat_words < 0.2 * got[i].n_words for i in range(150, 155))
+    assert all(0.2 <= got[i].n_repeat_words / got[i].n_words <= 0.5 and got[i].n_dup_lines == 0 for i in range(155, 160))
+    assert sum(got[i].kept for i in range(150)) >= 145
+
+
 def test_estimates_are_robust_and_native(spark):
     r = np.random.default_rng(1)
     x = np.concatenate([r.multivariate_normal([1, 2, 0, 0], np.diag([0.5, 0.3, 0.4, 0.2]) ** 2, 800), r.normal(9, 0.1, (150, 4))])
