@@ -480,3 +480,20 @@ def test_templates_mark_constant_nodes():
         if node.template:
             constant.append(node.own_text())
     assert "Welcome to our site" in constant and "Read more here" in constant and "own 0" not in constant
+
+
+def extracted(spark, hosts):
+    """Texts by host of pages given as host to list of html."""
+    rows = [(1000 * n + i, f"http://{host}/{i}", page) for n, (host, pages) in enumerate(hosts.items()) for i, page in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return {host: [got[1000 * n + i] for i in range(len(pages))] for n, (host, pages) in enumerate(hosts.items())}
+
+
+def test_all_pages_of_a_host_count(spark):
+    """A block on a third of the pages, and hosts of four pages."""
+    club = "<section class=club><h3>Join the club today</h3></section>"
+    many = [f"<article><h1>Title {i}</h1>{club if i % 3 == 2 else ''}<p>A text of its own that goes on for long, {prose(i, 20)}</p></article>" for i in range(60)]
+    few = {f"few{h}": [f"<article><h1>Page {i} {h}</h1>{club}<p>{prose(100 * h + i, 20)}</p></article>" for i in range(4)] for h in range(8)}
+    got = extracted(spark, {"many": many, **few})
+    assert not any("club" in text for texts in got.values() for text in texts)
+    assert all(got["many"][i].startswith(f"Title {i} A text") for i in range(60))
