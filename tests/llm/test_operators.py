@@ -497,3 +497,9 @@ def test_all_pages_of_a_host_count(spark):
     got = extracted(spark, {"many": many, **few})
     assert not any("club" in text for texts in got.values() for text in texts)
     assert all(got["many"][i].startswith(f"Title {i} A text") for i in range(60))
+
+
+def test_blocks_in_runs_of_siblings_are_template(spark):
+    bodies = [f"<div id=top>Welcome all</div><div id=body{i}><h1>T {i}</h1><p>own {i} <b>and</b> {prose(i, 20)}</p><p>Subscribe to <a>our letter</a></p><p>more {i}</p></div><div id=foot>Contact us</div>" for i in range(6)]
+    got = extracted(spark, {"plain": bodies})["plain"]
+    assert got == [" ".join(f"T {i} own {i} and {prose(i, 20)} more {i}".split()) for i in range(6)]
