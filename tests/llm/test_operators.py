@@ -503,3 +503,13 @@ def test_blocks_in_runs_of_siblings_are_template(spark):
     bodies = [f"<div id=top>Welcome all</div><div id=body{i}><h1>T {i}</h1><p>own {i} <b>and</b> {prose(i, 20)}</p><p>Subscribe to <a>our letter</a></p><p>more {i}</p></div><div id=foot>Contact us</div>" for i in range(6)]
     got = extracted(spark, {"plain": bodies})["plain"]
     assert got == [" ".join(f"T {i} own {i} and {prose(i, 20)} more {i}".split()) for i in range(6)]
+
+
+def test_templates_hold_whatever_their_length(spark):
+    """Short articles under long boilerplate lose it; copies of one page keep their text."""
+    legal = f"<div class=x><p>{prose(77, 200)}</p></div>"
+    short = [f"<section><p>Short {i}</p></section>{legal}" for i in range(6)]
+    copies = [f"<!-- {i} --><article><p>{prose(78, 50)}</p></article>" for i in range(6)]
+    got = extracted(spark, {"short": short, "copies": copies})
+    assert got["short"] == [f"Short {i}" for i in range(6)]
+    assert got["copies"] == [prose(78, 50)] * 6
