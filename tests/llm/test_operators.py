@@ -215,6 +215,20 @@ def test_segment_allocation_covers_every_pair():
             assert probed & indexed or large in hard.tolist()
 
 
+def test_rows_of_one_id_keep_their_own_sets(spark):
+    texts = [prose(700, 60), prose(701, 60)]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, near(texts[0], 30)), (3, near(texts[1], 30))], "doc_id long, text string").coalesce(1)
+    sets = jaccard_join.document_sets(docs, 5)
+    wanted = sets.filter("doc_id = 1").select("doc_id", "node")
+    got = {r.node: r.hashes for r in jaccard_join.sets_of(docs, wanted, 5).collect()}
+    expected = {}
+    for text in texts:
+        hashes, sizes = jaccard_join.shingle_sets([text.encode()], 5)
+        expected[int(jaccard_join.set_nodes(hashes, sizes).view(np.int64)[0])] = hashes.tobytes()
+    assert {k: bytes(v) for k, v in got.items()} == expected
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.similar_documents(docs).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20, 60)] + [(5, 3), (3, 9), (100, 7), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
