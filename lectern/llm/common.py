@@ -45,15 +45,30 @@ def stored(df: DataFrame, name: str, *, large: bool = False, files: int | None =
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df = df if files is None else df.coalesce(files)
     df.write.option("compression", "zstd" if large else "uncompressed").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Remove the files of a ``stored`` table that no later step reads."""
+def renamed(df: DataFrame, *names: str) -> DataFrame:
+    """A ``stored`` table under other column names."""
+    out = df.toDF(*names)
+    out.stored_at = df.stored_at
+    return out
+
+
+def _path(df: DataFrame):
+    """File system and path of a ``stored`` table."""
     spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of ``stored`` tables that no later step reads."""
+    for df in tables:
+        files, path = _path(df)
+        files.delete(path, True)
 
 
 #: The most that is broadcast; beyond it Spark joins by shuffling both sides.
@@ -61,13 +76,25 @@ BROADCAST_BYTES = 32 << 20
 
 
 def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A ``stored`` table marked for broadcast if its measured size allows, else as it is."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    """A ``stored`` table marked for broadcast if its measured size allows, else as it is.
+
+    Measured are the files and, as these are packed, 16 bytes for each value of each row.
+    """
+    files, path = _path(df)
+    size = max(2 * files.getContentSummary(path).getLength(), 16 * len(df.columns) * df.count())
     return F.broadcast(df) if size <= most else df
 
 
-def partitions(spark: SparkSession, at_least: int = 1) -> int:
-    return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input for each part that a shuffle deals out.
+PART_BYTES = 32 << 20
+
+
+def partitions(docs: DataFrame) -> int:
+    """Parts to deal out what comes of ``docs``: as many as its bytes need, the session's setting at least."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Tables of unknown size report an absurd one.
+    return max(least, -(-size // PART_BYTES)) if size < 1 << 58 else least
 
 
 def fold_is(col, folds: int, fold: int):

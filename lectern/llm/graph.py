@@ -9,35 +9,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import forget, partitions, stored
+from lectern.llm.common import checked, forget, renamed, stored
 
 #: Nodes of one block: a task compares two blocks of a family at most.
 BLOCK = 256
-#: Edges for each file of the tables that a round of ``components`` writes.
-EDGES_A_FILE = 500_000
+#: Edges for each file of the tables that a round of ``components`` writes; edges that one task solves (16 MB).
+EDGES_A_FILE, EDGES_A_TASK = 500_000, 1_000_000
+LABELS = "node long, label long"
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for all nodes of ``edges`` (a long, b long).
+def _simple(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """Each edge once, from its smaller node; no loops."""
+    return stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", files=files)
 
-    Labels fall to the smallest label of the neighbours, then to the label's own
-    label, until nothing changes; both are mergeable aggregates, so a node with
-    very many edges is no task of its own.  Only a count reaches the driver.
+
+def components(edges: DataFrame, at_once: int = EDGES_A_TASK) -> DataFrame:
+    """node, component (its smallest node) for all nodes of ``edges`` (a long, b long); a ``stored`` table.
+
+    Each round hooks every node to its first neighbour, shortens the hooks once, and
+    contracts the graph to the nodes hooked to, so edges shrink from round to round;
+    what is left is solved by one task as soon as it is no more than ``at_once``
+    edges.  First is the smallest in the first round, which ends stars at once, and
+    after that a hash's smallest, so that no order of the ids makes long chains.  The
+    hooks are mergeable aggregates and their table is broadcast or joined with skew
+    handling, so a node with very many edges is no task of its own.  Only counts reach
+    the driver.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "edges")
-    files = 1 + both.count() // EDGES_A_FILE
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels", files=files)
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        above = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        new = stored(low.join(above, F.col("low") == F.col("_n")).select("node", "old", F.least("low", "_c").alias("component")), "labels", files=files)
-        changed = new.filter("old <> component").limit(1).count()
-        forget(labels)
-        labels = new.select("node", "component")
-        if not changed:
-            forget(both)
-            return labels
+    edges, hooks = stored(edges.filter("a <> b"), "edges"), []
+    while (n := edges.count()) > at_once:
+        order = F.xxhash64 if hooks else lambda node, _: F.col(node)
+        seed, files = F.lit(len(hooks)), 1 + n // EDGES_A_FILE
+        both = edges.union(edges.select(F.col("b"), F.col("a")))
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", order("b", seed)).alias("b"))
+        up = stored(first.select("node", F.when(order("b", seed) < order("node", seed), F.col("b")).otherwise(F.col("node")).alias("up")), "hooks", files=files)
+        top = checked(up).select(F.col("node").alias("up"), F.col("up").alias("label"))
+        hooks.append(stored(up.join(top, "up").select("node", "label"), "labels", files=files))
+        to = checked(hooks[-1])
+        ends = [to.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")) for end in ("a", "b")]
+        old, edges = edges, _simple(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), files)
+        forget(old, up)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.empty((2, 0), np.int64), *(np.stack([batch.column(k).to_numpy() for k in ("a", "b")]) for batch in batches)]
+        node, label = local_components(*np.concatenate(own, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], names=["node", "label"])
+
+    label = stored(edges.coalesce(1).mapInArrow(solve, LABELS), "labels")
+    forget(edges)
+    # From the last round back: where the node that each node was hooked to has ended.
+    for hook in reversed(hooks):
+        end = checked(label).select(F.col("node").alias("label"), F.col("label").alias("end"))
+        old, label = label, stored(hook.join(end, "label", "left").select("node", F.coalesce("end", "label").alias("label")), "labels")
+        forget(old, hook)
+    if not hooks:
+        return renamed(label, "node", "component")
+    least = stored(label.groupBy("label").agg(F.min("node").alias("component")), "least")
+    out = stored(label.join(checked(least), "label").select("node", "component"), "components")
+    forget(label, least)
+    return out
+
+
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes, and the smallest node that edges a, b connect with each."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(node))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        for end in (label[a], label[b]):
+            np.minimum.at(label, end, low)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return node, node[label]
 
 
 class Union:
@@ -66,31 +111,60 @@ def linked(candidates: Iterator[tuple[int, int]], n: int, similar: Callable[[int
     return out
 
 
-def verified_links(members: DataFrame, compare: Callable[[pa.Table, np.ndarray], list[tuple[int, int]]], block: int = BLOCK) -> DataFrame:
-    """a, b: links within families.  ``members`` has family, node and what ``compare`` needs.
+Compare = Callable[[pa.Table, np.ndarray], list[tuple[int, int]]]
+
+
+def verified_links(members: DataFrame, compare: Compare, parts: int, block: int = BLOCK) -> DataFrame:
+    """a, b: links within families.  ``members`` (stored) has family, node and what ``compare`` needs.
 
-    A family of more than ``block`` nodes is split into blocks, and every pair of
-    blocks is compared somewhere; ``compare`` gets the rows of two blocks and a
-    mask of the pairs that are its own.
+    ``compare`` gets the rows of a unit and a mask of the pairs that are its own.  A
+    family of more than ``block`` nodes is split into blocks.  First every block is
+    compared in itself and with the family's smallest node; only nodes that this
+    hasn't connected to the smallest are then compared with all other blocks.  A
+    family of near copies so costs as much as it has nodes, not their square, and
+    no link between what isn't connected is lost.
     """
-    spark = members.sparkSession
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    dealt = members.join(sizes, "family").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")}).drop("_blocks", "_other")
-    parts = 4 * partitions(spark)
+    counted = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"), F.min("node").alias("_center"))
+    sizes = stored(counted, "family-sizes")
+    dealt = members.join(checked(sizes), "family").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    everywhere = F.when(F.col("node") == F.col("_center"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("_own"))
+    whole = dealt.withColumn("_lo", F.explode(everywhere)).withColumns({"_hi": F.lit(0), "_side": F.lit(0)})
+    first = stored(_units(whole.drop("_own"), compare, parts), "links")
+    links = first.filter("b IS NOT NULL")
+    rest = stored(first.filter("b IS NULL").select(F.col("a").alias("node")), "rest")
+    if rest.isEmpty():
+        return links
+    large = dealt.filter("_blocks > 1")
+    alone = large.join(checked(rest), "node", "left_semi")
+    many = stored(alone.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("_rest")), "rest-sizes")
+    one = alone.join(checked(many), "family").withColumns({"_lo": F.pmod(F.xxhash64("node"), F.col("_rest")).cast("int"), "_hi": F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)), "_side": F.lit(1)})
+    # A node's own block has been compared with it.
+    one = one.filter("_hi <> _own")
+    other = large.join(checked(many), "family").withColumns({"_lo": F.explode(F.sequence(F.lit(0), F.col("_rest") - 1)), "_hi": F.col("_own"), "_side": F.lit(2)})
+    names = [*members.columns, "_blocks", "_center", "_lo", "_hi", "_side"]
+    return links.union(_units(one.select(names).union(other.select(names)), compare, parts).filter("b IS NOT NULL"))
+
+
+def _units(dealt: DataFrame, compare: Compare, parts: int) -> DataFrame:
+    """a, b: links of each unit (family, _lo, _hi); for one of several whole blocks also a, null for what isn't connected to _center."""
     dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("family", "_lo", "_hi"), F.lit(parts)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in ("family", "_lo", "_hi", "_own", "node")])
+        rows = pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in ("family", "_lo", "_hi", "_side", "node")])
         keys = np.stack([rows.column(k).to_numpy() for k in ("family", "_lo", "_hi")])
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.num_rows], strict=True):
             unit = rows.slice(lo, hi - lo)
-            own = unit.column("_own").to_numpy()
-            across = own[:, None] != own[None, :] if keys[1, lo] != keys[2, lo] else np.ones((hi - lo, hi - lo), bool)
+            side = unit.column("_side").to_numpy()
             node = unit.column("node").to_pylist()
-            pairs = compare(unit, np.triu(across, 1))
-            yield pa.RecordBatch.from_arrays([pa.array([node[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            across = np.triu(np.ones((hi - lo, hi - lo), bool), 1) if not side.any() else side[:, None] < side[None, :]
+            pairs = compare(unit, across)
+            out = [(node[i], node[j]) for i, j in pairs]
+            if not side.any() and unit.column("_blocks")[0].as_py() > 1:
+                union, center = Union(hi - lo), node.index(unit.column("_center")[0].as_py())
+                for i, j in pairs:
+                    union.join(i, j)
+                out += [(x, None) for i, x in enumerate(node) if union.find(i) != union.find(center)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return dealt.repartition(parts, "_part").groupBy("_part").applyInArrow(run, "a long, b long")

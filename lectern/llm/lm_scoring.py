@@ -144,8 +144,7 @@ def piece_log_p(counts: DataFrame, path: str, ends: int, rounds: int) -> tuple[n
 
 def score_documents(docs: DataFrame, path: str, *, rounds: int = 2, part_bytes: int = 64 << 20) -> DataFrame:
     """Scores for ``docs`` (doc_id long, held_out boolean, text); learns from rows that are not held out."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(docs)
     index = stored(postings(docs, parts), "lm-postings", large=True)
     counts = stored(word_counts(index, parts), "lm-counts", large=True)
     ends = index.filter("part = -1").agg(F.sum("n_train")).first()[0] or 0

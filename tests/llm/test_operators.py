@@ -176,7 +176,7 @@ def test_jaccard_join_equals_brute_force(spark):
 
 
 def test_families_larger_than_a_block(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "verified_links", lambda members, compare: graph.verified_links(members, compare, block=4))
+    monkeypatch.setattr(jaccard_join, "verified_links", lambda members, compare, parts: graph.verified_links(members, compare, parts, block=4))
     texts = [*family(7, 60, 40), *family(8, 200, 40)]
     got = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(table(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts)]
@@ -187,7 +187,7 @@ def test_sets_that_no_probe_covers_are_compared_with_all(spark):
     docs = table(spark, texts).select("doc_id", "text")
     sets = jaccard_join.document_sets(docs, 5)
     reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    links = jaccard_join.links_of_uncovered(docs, reps, reps.select("node"), 5, 75)
+    links = jaccard_join.links_of_uncovered(docs, sets, reps, reps.select("node"), 5, 75)
     node = {r.node: r.doc_id for r in reps.collect()}
     union = graph.Union(len(texts))
     for i, r in ((r.doc_id, r.node) for r in sets.collect()):
@@ -229,11 +229,38 @@ def test_rows_of_one_id_keep_their_own_sets(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.similar_documents(docs).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(20, 60)] + [(5, 3), (3, 9), (100, 7), (7, 7)]
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 20 for i in range(20, 61)} | {5: 3, 3: 3, 9: 3, 100: 7, 7: 7}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_components(spark, at_once):
+    """By contraction alone, and by one task as the graph is small: a path of ordered ids, a star, a loop."""
+    edges = [(i, i + 1) for i in range(20, 60)] + [(5, 3), (3, 9), (100, 7), (7, 7), (8, 8)] + [(500, i) for i in range(501, 540)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), at_once).collect()}
+    assert got == {i: 20 for i in range(20, 61)} | {5: 3, 3: 3, 9: 3, 100: 7, 7: 7} | {i: 500 for i in range(500, 540)}
+    assert graph.components(spark.createDataFrame([], "a long, b long"), at_once).count() == 0
+
+
+def test_local_components_equal_union_find():
+    r = random.Random(12)
+    for n in (2, 10, 200):
+        pairs = [(r.randrange(n) * 7, r.randrange(n) * 7) for _ in range(n)]
+        union = graph.Union(7 * n)
+        for a, b in pairs:
+            union.join(a, b)
+        node, label = graph.local_components(*np.array(pairs).T)
+        assert dict(zip(node.tolist(), label.tolist(), strict=True)) == {x: union.find(x) for p in pairs for x in p}
+
+
+def test_edges_of_families_follow_the_nodes_not_the_parts(spark):
+    """However many parts deal out the keys of a family of near copies, its edges stay about as many as its nodes."""
+    base, r, texts = prose(640, 300).split(), random.Random(64), []
+    for i in range(200):
+        words = list(base)
+        words[r.randrange(300)] = f"own{i}"
+        texts.append(" ".join(words))
+    docs = table(spark, texts).select("doc_id", "text")
+    for parts in (4, 64):
+        blobs = jaccard_join.key_blobs(docs, parts, jaccard_join.Bands.of(75), 5)
+        edges = jaccard_join.family_edges(jaccard_join.candidate_groups(blobs, parts).filter("role > 0"))
+        assert 199 <= edges.count() < 400
 
 
 # --- Lines ------------------------------------------------------------------------
@@ -257,23 +284,28 @@ def test_edit_distance_equals_the_plain_table():
         assert line_dedup.edit_distance(a, b, most) == min(levenshtein(a, b), most + 1)
 
 
-def brute_lines(texts):
+def plainly_normalised(line):
+    """The normal form, written without the module's tables."""
+    words = "".join(c.lower() if c.isascii() else c for c in line if not c.isascii() or c.isalnum() or c in " \t\v\f\r")
+    words = re.sub("[ \t\v\f\r]+", " ", words).strip(" ").split(" ")
+    return " ".join(words if len(words) >= 5 else re.sub("[ \t\v\f\r]+", " ", "".join(c.lower() if c.isascii() else c for c in line)).strip(" ").split(" "))
+
+
+def brute_lines(texts, least=0.85):
+    """All pairs of lines by plain edit similarity; no hash, sketch or candidate search."""
     first, places = {}, []
     for d, text in enumerate(texts):
-        for i, line in enumerate((text or "").encode().split(b"\n")):
-            words = line_dedup.normalised(line)
-            if len(words) >= line_dedup.LEAST_WORDS:
-                key = b" ".join(words)
+        for i, line in enumerate((text or "").split("\n")):
+            if key := plainly_normalised(line):
                 places.append((d, i, key))
                 first.setdefault(key, (d, i))
     keys = list(first)
-    sim = line_dedup.simhashes([k.split() for k in keys]) if keys else np.zeros(0, np.uint64)
     union = graph.Union(len(keys))
     for i, j in itertools.combinations(range(len(keys)), 2):
-        if line_dedup.bits_apart(sim[i], sim[j]) <= line_dedup.BITS:
-            a, b = keys[i].decode(), keys[j].decode()
-            if levenshtein(a, b) <= int((1 - line_dedup.EDIT) * max(len(a), len(b)) + 1e-9):
-                union.join(i, j)
+        a, b = keys[i], keys[j]
+        most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+        if min(len(a), len(b)) >= line_dedup.LEAST_CHARS and abs(len(a) - len(b)) <= most and re.search("[a-z\x80-\U0010ffff]", a) and levenshtein(a, b) <= most:
+            union.join(i, j)
     number = {k: i for i, k in enumerate(keys)}
     keep = {}
     for k, place in first.items():
@@ -285,18 +317,38 @@ def brute_lines(texts):
 
 def test_line_dedup_equals_brute_force(spark):
     base = [prose(s, 24) for s in range(12)]
-    long = prose(99, 300)
+    long = prose(99, 120)
     texts = [t for t in ODD if t is None or len(t) < 1000]
     texts += ["\n".join([base[i], f"{base[i + 1].upper()}!", near(base[i + 2], i), prose(50 + i, 9), near(long, 10 * i), "short line"]) for i in range(10)]
-    docs = table(spark, texts).drop("words", "score")
+    docs = table(spark, texts)
     got = {r.doc_id: r for r in line_dedup.deduplicated(docs, drop_empty=False).collect()}
     assert [got[i].text for i in range(len(texts))] == brute_lines(texts)
-    assert got[0].n_lines == 0 and sum(r.n_cut for r in got.values()) > 15
+    assert got[0].n_lines == 0 and got[0].words == "clash" and sum(r.n_cut for r in got.values()) > 15
     left = {r.doc_id for r in line_dedup.deduplicated(docs).collect()}
     assert left == {i for i, r in got.items() if not r.n_cut or r.text.strip()}
     assert line_dedup.deduplicated(empty(spark)).count() == 0
 
 
+def test_line_dedup_does_not_depend_on_the_dealing(spark):
+    """One chunk, or each document a chunk of its own: exact copies and families larger than a block are cut alike."""
+    one = prose(55, 30)
+    texts = ["\n".join([prose(4, 12), near(one, i % 30), f"own {prose(900 + i, 8)}", prose(4, 12)]) for i in range(60)]
+    docs = table(spark, texts).select("doc_id", "text")
+    found = [sorted((r.doc_id, r.text) for r in line_dedup.deduplicated(docs.repartition(n), drop_empty=False).collect()) for n in (1, 60)]
+    assert found[0] == found[1]
+    assert sum(text.count("\n") + 1 for _, text in found[0]) == 2 + 60
+
+
+def test_clashing_columns_and_rows_without_an_id(spark):
+    line = prose(5, 10)
+    rows = [(1, f"{line}\nfirst", 7, "a", 1, None, 3), (None, f"{line}\n{line}", 8, "b", 2, None, 4), (None, "own words", 9, "c", 3, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, cut long, key string, n_cut int, at string, n_chars int")
+    got = sorted(line_dedup.deduplicated(docs, drop_empty=False, report=False, n_chars="n_chars").collect(), key=lambda r: r.cut)
+    assert got[0].asDict().keys() == {"doc_id", "text", "cut", "key", "n_cut", "at", "n_chars"}
+    # The rows without an id are one document, the first of all.
+    assert [(r.text, r.n_cut, r.n_chars) for r in got] == [("first", 1, 5), (line, 2, len(line)), ("own words", 3, 5)]
+
+
 def test_every_line_takes_part_in_exact_deduplication(spark):
     lines = ["All rights reserved.", "Step 1", "12 345 67", "你好世界，今天天气很好", "***", "Step 2"]
     docs = table(spark, ["\n".join([*lines[:5], "first own", "", " "]), "\n".join([*lines, "second own", "", " "])]).select("doc_id", "text")
@@ -304,19 +356,37 @@ def test_every_line_takes_part_in_exact_deduplication(spark):
     assert got[0].n_cut == 0 and got[1].text == "Step 2\nsecond own\n\n " and got[1].n_cut == 5
 
 
-def test_fuzzy_lines_of_ordinary_length_are_found(spark):
-    """Against plain edit similarity, with no filter: one word of a line changed, and a line without spaces."""
-    r, lines = random.Random(6), []
+def test_lines_that_differ_in_numbers_are_kept(spark):
+    texts = ["On 12.03.2019 he paid 400 dollars for it", "On 07.11.1987 he paid 9 dollars for it", "Room 12, floor 3, building 8 of the main campus", "Room 94, floor 7, building 1 of the main campus"]
+    got = line_dedup.deduplicated(table(spark, texts).select("doc_id", "text")).collect()
+    assert sorted((r.doc_id, r.n_cut) for r in got) == [(0, 0), (1, 0), (2, 0), (3, 0)]
+
+
+def edited(text, share, r, alphabet):
+    chars = list(text)
+    for i in r.sample(range(len(chars)), max(1, round(share * len(chars)))):
+        chars[i] = r.choice(alphabet)
+    return "".join(chars)
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.01, 0.98), (0.03, 0.95), (0.05, 0.8), (0.1, 0.15)])
+def test_recall_of_edited_lines(spark, share, least):
+    """Lines of 5 to 40 words and lines without spaces, edited at random, against plain edit similarity."""
+    r, pairs = random.Random(6), []
+    letters, signs = "abcdefghijklmnopqrstuvwxyz", [chr(0x4E00 + k) for k in range(2000)]
     for i in range(400):
-        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 8))) for _ in range(r.randrange(5, 51))]
-        lines.append((" ".join(words), near(" ".join(words), r.randrange(len(words)))))
-    lines.append(("".join(chr(0x4E00 + 7 * k) for k in range(60)), "".join(chr(0x4E00 + 7 * k + (k == 30)) for k in range(60))))
-    pairs = [(a, b) for a, b in lines if levenshtein(a, b) <= 0.15 * max(len(a), len(b))]
+        if i % 5:
+            text, alphabet = " ".join("".join(r.choice(letters) for _ in range(r.randrange(3, 8))) for _ in range(r.randrange(5, 41))), letters
+        else:
+            text, alphabet = "".join(r.choice(signs) for _ in range(r.randrange(30, 80))), signs
+        other = edited(text, share, r, alphabet)
+        if text != other and levenshtein(text, other) <= 0.15 * max(len(text), len(other)):
+            pairs.append((text, other))
     docs = table(spark, [x for pair in pairs for x in pair]).select("doc_id", "text")
     cut = {x.doc_id for x in line_dedup.deduplicated(docs, drop_empty=False).filter("n_cut > 0").collect()}
     found = sum(2 * i + 1 in cut for i in range(len(pairs)))
-    assert len(pairs) > 300 and not any(2 * i in cut for i in range(len(pairs)))
-    assert found >= 0.98 * len(pairs) and 2 * len(pairs) - 1 in cut
+    assert len(pairs) > 350 and not any(2 * i in cut for i in range(len(pairs)))
+    assert found >= least * len(pairs)
 
 
 # --- Language models ----------------------------------------------------------------
