@@ -14,13 +14,17 @@ that makes it to the merge that absorbs it.
 Decoding gathers token strings from one byte table through an offset table.
 
 Defined cases: null or empty text has no tokens; repeated rows give repeated
-rows; other columns are not read; a text is never cut.
+rows; other columns are not read; a text is never cut.  Special strings are taken
+one after the other, however many there are; a very long word is encoded in parts
+between symbols that no token has side by side, which gives the same ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +43,8 @@ END = "</w>"
 #: Added to the code point of a word's last character: one symbol for "x</w>".
 LAST = 0x10000
 NEVER = 1 << 60
+#: Symbols beyond which a word is split where it may be.
+LONG_WORD = 4096
 
 
 class Bpe:
@@ -60,13 +66,15 @@ class Bpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[self._symbols(a), self._symbols(b)] = rank
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.parts = {}
         for (a, b), rank in self.ranks.items():
             self.parts.setdefault(a + b, (a, b, rank))
-        self.matcher = ahocorasick.Automaton()
+        self.matcher, self.inside = ahocorasick.Automaton(), set()
         for symbols in self.ids:
             if self._merged(symbols) == [symbols]:
                 self.matcher.add_word(symbols, symbols)
+                self.inside.update(zip(symbols, symbols[1:], strict=False))
         self.matcher.make_automaton()
         self.right_edge = Memo(lambda token: self._edge(token, 1), 2 * len(self.ids))
         self.left_edge = Memo(lambda token: self._edge(token, 0), 2 * len(self.ids))
@@ -159,15 +167,30 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, special strings in it taken as special tokens."""
-        at = min(((i, len(s), s) for s in self.special if (i := text.find(s)) >= 0), key=lambda x: (x[0], -x[1]), default=None)
-        if at:
-            i, n, s = at
-            return [*self.encode(text[:i]), self.special[s], *self.encode(text[i + n :])]
         out: list[int] = []
-        for word, _ in self.split(self.normalize(text)):
-            out += self.words[word[:-1] + chr(ord(word[-1]) + LAST)]
+        done = 0
+        for found in itertools.chain(self.specials.finditer(text), [None]):
+            for word, _ in self.split(self.normalize(text[done : found.start() if found else len(text)])):
+                symbols = word[:-1] + chr(ord(word[-1]) + LAST)
+                if len(symbols) <= LONG_WORD:
+                    out += self.words[symbols]
+                else:
+                    for part in self.parts_of(symbols):
+                        out += self.encode_symbols(part)
+            if found:
+                out.append(self.special[found[0]])
+                done = found.end()
         return out
 
+    def parts_of(self, symbols: str) -> Iterator[str]:
+        """Parts of a long word that no merge can join: no token has the two symbols at the border side by side."""
+        start, inside = 0, self.inside
+        for i in range(LONG_WORD, len(symbols)):
+            if i - start >= LONG_WORD and (symbols[i - 1], symbols[i]) not in inside:
+                yield symbols[start:i]
+                start = i
+        yield symbols[start:]
+
     def encode_word(self, raw: bytes) -> bytes:
         """Ids of a text without white space, as bytes."""
         if raw.isalpha():  # ASCII letters: nothing to normalise or split

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8 << 20
-#: Entries a per-worker memo may hold before it starts over.
-MEMO_ENTRIES = 1 << 18
+#: Entries, and bytes of their keys, that a worker's memo may hold before it starts over.
+MEMO_ENTRIES, MEMO_BYTES = 1 << 18, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,14 @@ def stored(df: DataFrame, name: str, *, large: bool = False, files: int | None =
     df.write.option("compression", "zstd" if large else "uncompressed").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    SCRATCH[path] = out
     return out
 
 
+#: The tables that are stored now, in the order in which they came.
+SCRATCH: dict[str, DataFrame] = {}
+
+
 def renamed(df: DataFrame, *names: str) -> DataFrame:
     """A ``stored`` table under other column names."""
     out = df.toDF(*names)
@@ -69,6 +74,7 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         files, path = _path(df)
         files.delete(path, True)
+        SCRATCH.pop(df.stored_at, None)
 
 
 #: The most that is broadcast; beyond it Spark joins by shuffling both sides.
@@ -122,14 +128,16 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts over when it is full."""
+    """A dict that computes what it lacks and starts over when it is full, by entries or by the length of keys."""
 
-    def __init__(self, make, most: int = MEMO_ENTRIES):
+    def __init__(self, make, most: int = MEMO_ENTRIES, most_bytes: int = MEMO_BYTES):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.most_bytes, self.bytes = make, most, most_bytes, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.bytes >= self.most_bytes:
             self.clear()
+            self.bytes = 0
         self[key] = out = self.make(key)
+        self.bytes += len(key)
         return out

@@ -7,7 +7,7 @@ the word over all segmentations (forward algorithm); the prediction is the best
 language, its posterior under equal priors is the score.
 
 The labelled rows are sampled by a hash of the id down to about
-``max_train_docs`` (the documented bound of the fit); the model is bounded by
+``max_train_docs`` in all, each language by itself (the documented bound of the fit); the model is bounded by
 vocabulary times languages, and only that goes to the driver.  Prediction reads
 the text alone.
 
@@ -19,7 +19,6 @@ rows all is ``und``; repeated rows are predicted alike; texts are used whole.
 from __future__ import annotations
 
 import itertools
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from lectern.llm import lattice as lat
 from lectern.llm.common import raw_texts, text_chunks
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Pseudo-uses of the pooled distribution in each language.
 SMOOTHING = 200.0
 
@@ -51,11 +51,7 @@ _scores: dict[str, lat.WordScores] = {}
 
 
 def train(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train_docs: int = 20_000, rounds: int = 2) -> Model:
-    labelled = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(doc_id)).alias("_h")).filter("_text IS NOT NULL AND _lang IS NOT NULL")
-    share = max_train_docs / max(1, labelled.count())
-    if share < 1:
-        labelled = labelled.filter(F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20)))
-    labelled = labelled.select("_text", "_lang")
+    labelled = sampled(docs, text, lang, doc_id, max_train_docs)
     lattice = lat.loaded(path)
     pooled, languages = lattice.prior, ()
     step = lattice.step(pooled)[:, None]
@@ -74,6 +70,17 @@ def train(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang",
     return Model(path, languages, step, uuid.uuid4().hex)
 
 
+def sampled(docs: DataFrame, text: str, lang: str, doc_id: str, most: int) -> DataFrame:
+    """_text, _lang of labelled rows, by a hash of the id down to about ``most``, as many of each language if it has them."""
+    labelled = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(doc_id)).alias("_h")).filter("_text IS NOT NULL AND _lang IS NOT NULL")
+    counts = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}
+    each = max(1, most // max(1, len(counts)))
+    shares = [F.lit(x) for language, n in counts.items() if n > each for x in (language, int(each / n * (1 << 30)))]
+    if shares:
+        labelled = labelled.filter(F.pmod("_h", F.lit(1 << 30)) < F.coalesce(F.try_element_at(F.create_map(*shares), "_lang"), F.lit(1 << 30)))
+    return labelled.select("_text", "_lang")
+
+
 def _uses(labelled: DataFrame, path: str, step: np.ndarray, languages: tuple[str, ...]) -> list:
     """Expected uses of pieces by language; all languages share one model until each has its own."""
 
@@ -96,14 +103,26 @@ def _uses(labelled: DataFrame, path: str, step: np.ndarray, languages: tuple[str
 
 def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", least: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """``keep`` columns, lang_pred and score for every row; with ``least_fits``, texts that fit worse are undetermined."""
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    return determined(docs, model, keep, text, least).toDF(*keep, "lang_pred", "score")
+
+
+def identified(docs: DataFrame, model: Model, *, text: str = "text", least: dict[str, tuple[float, float]] | None = None, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is determined with a score of at least ``least_score``."""
+    found = determined(docs, model, tuple(docs.columns), text, least)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).drop("lang_pred", "score").toDF(*docs.columns)
+
+
+def determined(docs: DataFrame, model: Model, keep: tuple[str, ...], text: str, least: dict[str, tuple[float, float]] | None) -> DataFrame:
+    """``keep`` columns as c0, c1 and so on (any name may come along), lang_pred and score."""
+    own = docs.select(*(F.col(k).alias(f"c{i}") for i, k in enumerate(keep)), F.col(text).alias("_text"))
+    schema = own.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "_text"):
             predicted, score = predict(model, raw_texts(chunk.column("_text")), least)
-            yield pa.RecordBatch.from_arrays([*(chunk.column(k) for k in keep), pa.array(predicted, pa.string()), pa.array(score)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(chunk.column(f"c{i}") for i in range(len(keep))), pa.array(predicted, pa.string()), pa.array(score)], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def predict(model: Model, texts: list[bytes], least: dict[str, tuple[float, float]] | None = None) -> tuple[list[str], np.ndarray]:
@@ -147,15 +166,12 @@ FIT_SPREAD, FIT_BINS = 5.0, 100
 
 def characters(texts: list[bytes]) -> np.ndarray:
     """The characters of each text that are not white space."""
-    return np.array([len("".join(raw.decode("utf-8", "replace").split())) for raw in texts], np.float64)
+    return np.array([len(raw.translate(None, b" \t\n\r\x0b\x0c").decode("utf-8", "replace")) for raw in texts], np.float64)
 
 
 def least_fits(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train_docs: int = 20_000) -> dict[str, tuple[float, float]]:
     """Median, and distance of the lower quartile, of the fits of each language's training documents of ``FIT_CHARS`` or more."""
-    labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isin(list(model.languages)))
-    share = max_train_docs / max(1, labelled.count())
-    if share < 1:
-        labelled = labelled.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < int(share * (1 << 20)))
+    labelled = sampled(docs.filter(F.col(lang).isin(list(model.languages))), text, lang, doc_id, max_train_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -168,7 +184,7 @@ def least_fits(docs: DataFrame, model: Model, *, text: str = "text", lang: str =
                     total[language, int(np.floor(fit[i, model.languages.index(language)] * FIT_BINS))] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["lang", "bin", "n"])
 
-    rows = labelled.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = labelled.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     out = {}
     for language in model.languages:
         bins, n = np.array(sorted((r.bin, r.n) for r in rows if r.lang == language), np.int64).reshape(-1, 2).T

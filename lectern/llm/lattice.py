@@ -16,31 +16,45 @@ from __future__ import annotations
 import itertools
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 from sentencepiece import SentencePieceProcessor
 
-from lectern.llm.common import MEMO_ENTRIES
+from lectern.llm.common import MEMO_BYTES, MEMO_ENTRIES
 
 MARK = "▁"
 CODE_POINTS = 0x110000
 WORDS_AT_ONCE = 8192
 CHARS_AT_ONCE = 1 << 18
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grown(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one code point longer."""
+    return (hashes ^ points) * _FACTOR + (hashes >> np.uint64(29))
 
 
 class Lattice:
     def __init__(self, path: str):
         model = SentencePieceProcessor(model_file=path)
         self.size, self.unknown = model.get_piece_size(), model.unk_id()
-        self.matcher, self.singles = ahocorasick.Automaton(), set()
+        self.pieces: dict[str, int] = {}
         for i in range(self.size):
             piece = model.id_to_piece(i)
-            if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) or MARK in piece[1:]:
-                continue
-            self.matcher.add_word(piece, (i, len(piece)))
-            if len(piece) == 1:
-                self.singles.add(piece)
-        self.matcher.make_automaton()
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) or MARK in piece[1:]):
+                self.pieces[piece] = i
+        # All prefixes of pieces by their hash, with the piece that they are, or -1.
+        prefixes = {piece[:n]: -1 for piece in self.pieces for n in range(1, len(piece) + 1)} | self.pieces
+        hashes = np.zeros(len(prefixes), np.uint64)
+        for n in range(max(map(len, prefixes))):
+            own = [(k, ord(p[n])) for k, p in enumerate(prefixes) if len(p) > n]
+            at, points = np.array(own).T
+            hashes[at] = _grown(hashes[at], points.astype(np.uint64))
+        order = np.argsort(hashes)
+        self.hashes, self.piece = hashes[order], np.fromiter(prefixes.values(), np.int64)[order]
+        # Most strings are no prefix: a bit for each hash tells.
+        self.may = np.zeros(1 << 21, bool)
+        self.may[hashes >> np.uint64(43)] = True
+        self.scores = np.array([model.get_score(i) for i in range(self.size)])
         # The vocabulary's own order as scores: a piece of rank r weighs 1 / (r + 1).
         weights = 1.0 / np.arange(1, self.size + 1)
         self.prior = np.log(weights / weights.sum())
@@ -52,24 +66,34 @@ class Lattice:
         return out
 
     def arcs(self, words: list[bytes]) -> Arcs:
-        starts, ends, pieces, sizes = [], [], [], []
-        base, singles, unknown, find = 0, self.singles, self.unknown, self.matcher.iter
-        for word in words:
-            text = MARK + word.decode("utf-8", "replace")
-            for end, (piece, n) in find(text):
-                end += base + 1
-                ends.append(end)
-                starts.append(end - n)
-                pieces.append(piece)
-            if strange := set(text) - singles:
-                for i, char in enumerate(text):
-                    if char in strange:
-                        starts.append(base + i)
-                        ends.append(base + i + 1)
-                        pieces.append(unknown)
-            sizes.append(len(text) + 1)
-            base += len(text) + 1
-        return Arcs(np.array(starts, np.int64), np.array(ends, np.int64), np.array(pieces, np.int64), np.array(sizes, np.int64))
+        """All pieces in the words: from every place on, prefixes of pieces grow by a character while there are any."""
+        points = np.frombuffer(b" ".join([b"", *words]).decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+        begins = points == 32
+        points[begins] = ord(MARK)
+        word = np.cumsum(begins) - 1
+        stop = np.append(np.flatnonzero(begins)[1:], len(points))[word]
+        # A word has a node more than it has characters.
+        at, hashes = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        starts, ends, pieces, n = [], [], [], 0
+        while len(at):
+            hashes = _grown(hashes, points[at + n])
+            n += 1
+            known = self.may[hashes >> np.uint64(43)]
+            place = np.searchsorted(self.hashes, hashes[known])
+            place[place == len(self.hashes)] = 0
+            known[known] = self.hashes[place] == hashes[known]
+            piece = np.full(len(at), -1)
+            piece[known] = self.piece[np.searchsorted(self.hashes, hashes[known])]
+            if n == 1:  # a character that is no piece is one step of the unknown piece
+                piece[piece < 0] = self.unknown
+            found = piece >= 0
+            starts.append(at[found] + word[at[found]])
+            ends.append(starts[-1] + n)
+            pieces.append(piece[found])
+            on = known & (at + n < stop[at])
+            at, hashes = at[on], hashes[on]
+        sizes = np.bincount(word, minlength=len(words)) + 1
+        return Arcs(*(np.concatenate([np.empty(0, np.int64), *x]) for x in (starts, ends, pieces)), sizes)
 
 
 class Arcs:
@@ -150,22 +174,27 @@ def expected_uses(lattice: Lattice, words: list[bytes], weight: np.ndarray, step
 
 
 class WordScores:
-    """Rows of scores for the words met so far; starts over when it is full."""
+    """Rows of scores for the words met so far; starts over when they are full."""
 
-    def __init__(self, lattice: Lattice, step: np.ndarray, most: int = 2 * MEMO_ENTRIES):
-        self.lattice, self.step, self.most = lattice, step, most
+    def __init__(self, lattice: Lattice, step: np.ndarray, most: int = 2 * MEMO_ENTRIES, most_bytes: int = MEMO_BYTES):
+        self.lattice, self.step, self.most, self.most_bytes = lattice, step, most, most_bytes
         self.rows: dict[bytes, int] = {}
-        self.values = np.empty((0, step.shape[1]))
+        self.bytes = 0
+        self.values = np.empty((1 << 12, step.shape[1]))
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        """A row for each of the words."""
         new = list(set(words) - self.rows.keys())
-        if len(self.rows) + len(new) > self.most and self.rows:
-            self.rows, self.values = {}, self.values[:0]
+        if self.rows and (len(self.rows) + len(new) > self.most or self.bytes > self.most_bytes):
+            self.rows, self.bytes = {}, 0
             new = list(set(words))
         if new:
-            found = word_log_p(self.lattice, new, self.step)
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.values = np.concatenate([self.values, found])
+            old, size = len(self.rows), len(self.rows) + len(new)
+            if size > len(self.values):
+                self.values = np.concatenate([self.values[:old], np.empty((max(size, 2 * len(self.values)) - old, self.step.shape[1]))])
+            self.values[old:size] = word_log_p(self.lattice, new, self.step)
+            self.rows.update(zip(new, range(old, size), strict=True))
+            self.bytes += sum(map(len, new))
         return self.values[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
 
 

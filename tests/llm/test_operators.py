@@ -82,6 +82,18 @@ def test_token_counts_equal_the_library(spark, library):
     assert token_counts.token_counts(empty(spark), tokenizer_path(WORD_BPE)).count() == 0
 
 
+def test_many_special_strings_and_long_texts_without_spaces(spark, library):
+    r = random.Random(31)
+    signs = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(60_000))
+    texts = ["<|endoftext|>" * 100_000, signs, "。".join(signs[i : i + 30] for i in range(0, 30_000, 30)), "ab" * 20_000, "<|startoftext|>x<|endoftext|>" * 50]
+    docs = table(spark, texts)
+    got = {x.doc_id: x for x in bpe.encode_digests(docs, tokenizer_path(WORD_BPE), with_ids=True).collect()}
+    counts = {x.doc_id: x.n_tokens for x in token_counts.token_counts(docs, tokenizer_path(WORD_BPE)).collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert got[i].ids == ids and counts[i] == len(ids)
+
+
 # --- Decontamination ----------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -397,7 +409,7 @@ def test_marginal_probability_sums_over_all_segmentations():
 
     lattice = lat.loaded(tokenizer_path(PIECES))
     step = lattice.step(lattice.prior)[:, None]
-    pieces = {p: i for p, (i, _) in lattice.matcher.items()}
+    pieces = lattice.pieces
 
     def plain(text):
         """Every segmentation, one by one."""
@@ -447,6 +459,33 @@ def test_language_identification(spark):
     assert language_id.identify(docs, untrained).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_scores_equal_brute_force(spark):
+    """Every segmentation of every word, one by one, in each language's model."""
+    rows = [(i, t, lang, "s", 0, "x", 0.0) for i, (t, lang) in enumerate([("the cat and the hat", "en"), ("der hut und die katze", "de"), ("the hen", "en"), ("der hahn", "de")] * 6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.train(docs, tokenizer_path(PIECES))
+    from lectern.llm import lattice as lat
+
+    pieces = lat.loaded(model.path).pieces
+
+    def plain(text, k):
+        return sum(math.exp(model.step[pieces[text[:n]], k]) * plain(text[n:], k) for n in range(1, len(text) + 1) if text[:n] in pieces) if text else 1.0
+
+    for text in ("the hat", "die katze und", "cat hut"):
+        sums = [sum(math.log(plain(lat.MARK + w, k)) for w in text.split()) for k in range(len(model.languages))]
+        predicted, score = language_id.predict(model, [text.encode()])
+        assert predicted == [model.languages[int(np.argmax(sums))]]
+        assert math.isclose(score[0], 1 / sum(math.exp(x - max(sums)) for x in sums), rel_tol=1e-9)
+    assert language_id.predict(model, ["½ ² 12 ʹ!".replace("ʹ", "").encode(), b"", "é".encode()])[0][:2] == ["und", "und"]
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    rows = [(i, f"common words number {i}", "en", "s", 0, "x", 0.0) for i in range(2000)] + [(5000 + i, "sanat ovat harvinaisia", "fi", "s", 0, "x", 0.0) for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = Counter(r["_lang"] for r in language_id.sampled(docs, "text", "lang", "doc_id", 200).collect())
+    assert found["fi"] == 3 and 50 < found["en"] < 150
+
+
 # --- Quality ---------------------------------------------------------------------------
 
 
