@@ -27,7 +27,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from lectern.llm.common import MEMO_ENTRIES, Memo, raw_texts, text_chunks
+from lectern.llm.common import MEMO_ENTRIES, Memo, held, raw_texts, text_chunks
 
 END = "</w>"
 #: Added to the code point of a word's last character: one symbol for "x</w>".
@@ -78,8 +77,8 @@ class Bpe:
         self.matcher.make_automaton()
         self.right_edge = Memo(lambda token: self._edge(token, 1), 2 * len(self.ids))
         self.left_edge = Memo(lambda token: self._edge(token, 0), 2 * len(self.ids))
-        self.compatible = Memo(self._compatible, 4 * MEMO_ENTRIES)
-        self.words = Memo(self.encode_symbols, 2 * MEMO_ENTRIES)
+        self.compatible = Memo(self._compatible)
+        self.words = Memo(self.encode_symbols, MEMO_ENTRIES // 4)
         texts = {i: token for token, i in vocab.items()} | {i: text for text, i in self.special.items()}
         pieces = [texts.get(i, "").encode() for i in range(max(texts) + 1)]
         self.table = np.frombuffer(b"".join(b" " + p for p in pieces), np.uint8)
@@ -195,7 +194,8 @@ class Bpe:
         """Ids of a text without white space, as bytes."""
         if raw.isalpha():  # ASCII letters: nothing to normalise or split
             word = raw.lower().decode()
-            ids = self.words[word[:-1] + chr(ord(word[-1]) + LAST)]
+            symbols = word[:-1] + chr(ord(word[-1]) + LAST)
+            ids = self.encode_symbols(symbols) if len(symbols) <= LONG_WORD else self.encode(word)
         else:
             ids = self.encode(raw.decode("utf-8", "replace"))
         return array("I", ids).tobytes()
@@ -210,11 +210,14 @@ class Bpe:
         return self.table[np.repeat(start - done + size, size) + np.arange(done[-1])].tobytes()[1:]
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> tuple[Bpe, Memo]:
     """One encoder a worker, with its memo of words: spaces end words, and no token spans one."""
-    bpe = Bpe(path)
-    return bpe, Memo(bpe.encode_word, 2 * MEMO_ENTRIES)
+
+    def make() -> tuple[Bpe, Memo]:
+        bpe = Bpe(path)
+        return bpe, Memo(bpe.encode_word)
+
+    return held(("bpe", path), make)
 
 
 def encode_documents(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

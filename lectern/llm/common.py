@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Entries, and bytes of their keys, that a worker's memo may hold before it starts over.
 MEMO_ENTRIES, MEMO_BYTES = 1 << 18, 32 << 20
 
@@ -92,7 +92,7 @@ def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
 
 #: Bytes of input for each part that a shuffle deals out.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 
 
 def partitions(docs: DataFrame) -> int:
@@ -127,6 +127,17 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps from task to task: the one thing made last, so that operators do not add up their memos."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class Memo(dict):
     """A dict that computes what it lacks and starts over when it is full, by entries or by the length of keys."""
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import lattice as lat
-from lectern.llm.common import raw_texts, text_chunks
+from lectern.llm.common import held, raw_texts, text_chunks
 
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -47,9 +47,6 @@ class Model:
     key: str
 
 
-_scores: dict[str, lat.WordScores] = {}
-
-
 def train(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train_docs: int = 20_000, rounds: int = 2) -> Model:
     labelled = sampled(docs, text, lang, doc_id, max_train_docs)
     lattice = lat.loaded(path)
@@ -146,12 +143,10 @@ def predict(model: Model, texts: list[bytes], least: dict[str, tuple[float, floa
 
 def log_likelihoods(model: Model, texts: list[bytes]) -> np.ndarray:
     """Log probability of each text in each language."""
-    if model.key not in _scores:
-        _scores.clear()
-        _scores[model.key] = lat.WordScores(lat.loaded(model.path), model.step)
+    scores = held(("words", model.key), lambda: lat.WordScores(lat.loaded(model.path), model.step))
     split = [raw.lower().split() for raw in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    values = _scores[model.key].of(list(itertools.chain.from_iterable(split)))
+    values = scores.of(list(itertools.chain.from_iterable(split)))
     sums = np.zeros((len(texts), len(model.languages)))
     if full := np.flatnonzero(sizes).tolist():
         sums[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full], axis=0)

@@ -176,7 +176,7 @@ def expected_uses(lattice: Lattice, words: list[bytes], weight: np.ndarray, step
 class WordScores:
     """Rows of scores for the words met so far; starts over when they are full."""
 
-    def __init__(self, lattice: Lattice, step: np.ndarray, most: int = 2 * MEMO_ENTRIES, most_bytes: int = MEMO_BYTES):
+    def __init__(self, lattice: Lattice, step: np.ndarray, most: int = MEMO_ENTRIES, most_bytes: int = MEMO_BYTES):
         self.lattice, self.step, self.most, self.most_bytes = lattice, step, most, most_bytes
         self.rows: dict[bytes, int] = {}
         self.bytes = 0

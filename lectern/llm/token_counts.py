@@ -13,7 +13,6 @@ is cut off.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import bpe
-from lectern.llm.common import MEMO_BYTES, MEMO_ENTRIES, raw_texts, text_chunks
+from lectern.llm.common import MEMO_BYTES, MEMO_ENTRIES, held, raw_texts, text_chunks
 
 #: Pieces that go to the library at once: bounds the memory of its encodings.
 BATCH_PIECES, BATCH_BYTES = 4096, 1 << 18
@@ -30,9 +29,8 @@ BATCH_PIECES, BATCH_BYTES = 4096, 1 << 18
 LONG_PIECE = 1 << 16
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> tuple[Tokenizer, dict[bytes, int]]:
-    return Tokenizer.from_file(path), {}
+    return held(("tokenizer", path), lambda: (Tokenizer.from_file(path), {}))
 
 
 def piece_batches(pieces: list[bytes]) -> Iterator[list[bytes]]:
@@ -49,7 +47,7 @@ def piece_batches(pieces: list[bytes]) -> Iterator[list[bytes]]:
 
 def lengths_of(path: str, tokenizer: Tokenizer, known: dict[bytes, int], texts: list[bytes]) -> list[int]:
     """Tokens of each text; ``known`` keeps what pieces have given."""
-    if len(known) > 2 * MEMO_ENTRIES or sum(map(len, known)) > MEMO_BYTES:
+    if len(known) > MEMO_ENTRIES or sum(map(len, known)) > MEMO_BYTES:
         known.clear()
     split = [text.split() for text in texts]
     new = sorted({piece for pieces in split for piece in pieces if piece not in known})
