@@ -12,9 +12,9 @@ the term's offset, are intersected with the offset-adjusted positions of the
 next rarest, until none is left or all terms are used up.  Proximity matches
 start from the rarest term's neighbourhoods likewise.
 
-The index keeps the terms that queries can ask for (``vocabulary``), or all.
-Queries are sent to every segment in blocks of at most ``block_bytes``; matches
-of several blocks are merged by document.
+The index keeps all words and is built once; queries are sent to it in blocks of
+at most ``block_bytes``, and matches of several blocks are merged by document.  A
+segment looks up only the queries whose rarest term it has.
 
 Words: A-Z lower-cased, then runs of digits, letters a-z and characters beyond
 ASCII.  Defined cases: a null or empty text has no words and no hits; an item
@@ -37,10 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.blobs import ranges
+from lectern.llm.blobs import ranges, word_hashes
 from lectern.llm.common import raw_texts, stored, text_chunks
 
 WINDOW = 10
+#: Words within which those of a window count as near.
+SPAN = 20
 BLOCK_BYTES = 16 << 20
 #: Positions left free between two documents; more than any window or span asked for.
 GAP = 1024
@@ -57,8 +59,8 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(WORDS_ONLY).split()
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None) -> DataFrame:
-    """Segments of ``docs`` (doc_id long, text).  Without a vocabulary, terms are 32-bit hashes of all words."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """Segments of ``docs`` (doc_id long, text): the positions of every word, terms as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -66,46 +68,67 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None) ->
             split = [words_of(raw) for raw in raw_texts(chunk.column("text"))]
             sizes = np.fromiter(map(len, split), np.int64, len(split))
             first = np.cumsum(sizes + GAP) - sizes - GAP
-            terms = term_ids(itertools.chain.from_iterable(split), int(sizes.sum()), vocabulary)
-            positions = ranges(first, sizes)
-            known = np.flatnonzero(terms >= 0)
-            order = known[np.argsort(terms[known], kind="stable")]
-            found, at = np.unique(terms[order], return_index=True)
-            columns = [first, sizes, found, np.append(at, len(order)), positions[order]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([base + n]), pa.array([chunk.column("doc_id").to_pylist()], pa.list_(pa.int64())), *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in columns)],
-                names=[x.split(" ")[0] for x in SEGMENT.split(", ")],
-            )
+            words = list(itertools.chain.from_iterable(split))
+            # Each different word is hashed once.
+            number: dict[bytes, int] = {}
+            at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+            terms = word_hashes(list(number))
+            by_hash = np.argsort(terms)
+            rank = np.empty(len(terms), np.int32)
+            rank[by_hash] = np.arange(len(terms), dtype=np.int32)
+            order = np.argsort(rank[at], kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(rank[at], minlength=len(terms)))])
+            blobs = [first.astype("<i4"), sizes.astype("<i4"), terms[by_hash], offsets.astype("<i4"), ranges(first, sizes)[order].astype("<i4")]
+            yield pa.RecordBatch.from_arrays([pa.array([base + n]), pa.array([chunk.column("doc_id").to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[x.split(" ")[0] for x in SEGMENT.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SEGMENT)
 
 
-def term_ids(words: Iterator[bytes], n: int, vocabulary: dict[bytes, int] | None) -> np.ndarray:
-    if vocabulary is None:
-        return np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") >> 1 for w in words), np.int64, n)
-    get = vocabulary.get
-    return np.fromiter((get(w, -1) for w in words), np.int64, n)
+class Asked:
+    """Queries, ready to be sent to tasks: each is a row of numbers of the different terms, filled up with -1."""
+
+    def __init__(self, queries: dict[tuple[bytes, ...], list[str]]):
+        words = sorted({w for q in queries for w in q})
+        number = {w: i for i, w in enumerate(words)}
+        self.terms = word_hashes(words)
+        self.names = list(queries.values())
+        self.rows = np.full((len(queries), max(map(len, queries), default=1)), -1, np.int32)
+        for row, q in zip(self.rows, queries, strict=True):
+            row[: len(q)] = [number[w] for w in q]
+
+    def met(self, segment: Segment) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Queries whose rarest term, and so every term, is in the segment, with their names."""
+        often = np.append(np.diff(segment.bounds), 1 << 40)
+        for i in np.flatnonzero(often[self.rows].min(axis=1) > 0).tolist():
+            row = self.rows[i]
+            yield row[row >= 0], self.names[i]
 
 
 class Segment:
     """One segment's postings, ready to be searched."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, terms: np.ndarray):
+        """``terms`` are those that will be asked for, by their number."""
         self.doc_ids = row["doc_ids"]
-        self.first, self.n_words, terms, offsets, self.positions = (np.frombuffer(row[k], "<i4").astype(np.int64) for k in ("first", "n_words", "terms", "offsets", "positions"))
-        self.of = dict(zip(terms.tolist(), zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), strict=True))
+        self.first, self.n_words, offsets, self.positions = (np.frombuffer(row[k], "<i4") for k in ("first", "n_words", "offsets", "positions"))
+        self.first, self.n_words = self.first.astype(np.int64), self.n_words.astype(np.int64)
+        own = np.frombuffer(row["terms"], "<u8")
+        at = np.searchsorted(own, terms)
+        known = at < len(own)
+        known[known] = own[at[known]] == terms[known]
+        self.starts, self.ends = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+        self.starts[known], self.ends[known] = offsets[at[known]], offsets[at[known] + 1]
+        self.bounds = np.stack([self.starts, self.ends], axis=1)
 
     def postings(self, term: int) -> np.ndarray:
-        lo, hi = self.of.get(term, (0, 0))
-        return self.positions[lo:hi]
+        return self.positions[self.starts[term] : self.ends[term]]
 
     def frequency(self, term: int) -> int:
-        lo, hi = self.of.get(term, (0, 0))
-        return hi - lo
+        return self.ends[term] - self.starts[term]
 
-    def phrase(self, terms: tuple[int, ...]) -> np.ndarray:
+    def phrase(self, terms: np.ndarray) -> np.ndarray:
         """Positions at which the terms stand one after the other."""
-        order = sorted(range(len(terms)), key=lambda i: self.frequency(terms[i]))
+        order = np.argsort(self.ends[terms] - self.starts[terms], kind="stable").tolist()
         found = self.postings(terms[order[0]]) - order[0]
         for i in order[1:]:
             if not len(found):
@@ -113,28 +136,31 @@ class Segment:
             found = intersect(found, self.postings(terms[i]) - i)
         return found
 
-    def proximity(self, terms: tuple[int, ...], span: int) -> np.ndarray:
+    def proximity(self, terms: np.ndarray, span: int) -> np.ndarray:
         """Starts of the shortest stretches of at most ``span`` words with all terms, one for each start."""
-        need = sorted(set(terms), key=self.frequency)
-        rare = self.postings(need[0])
-        if not len(rare) or not all(map(self.frequency, need)):
-            return rare[:0]
-        near = [rare]
+        need = sorted(set(terms.tolist()), key=self.frequency)
+        rare = self.postings(need[0]).astype(np.int64)
+        # Rare places that have each other term near, from the next rarest on.
         for term in need[1:]:
+            if not len(rare):
+                return rare
             own = self.postings(term)
+            at = np.searchsorted(own, rare - span + 1)
+            rare = rare[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= rare + span - 1)] if len(own) else rare[:0]
+        if not len(rare):
+            return rare
+        near = []
+        for term in need:
+            own = self.postings(term).astype(np.int64)
             at = np.searchsorted(rare, own)
             before, after = own - rare[np.maximum(at - 1, 0)], rare[np.minimum(at, len(rare) - 1)] - own
             near.append(own[((before >= 0) & (before < span)) | ((after >= 0) & (after < span))])
-        at = np.concatenate(near)
-        kind = np.repeat(np.arange(len(near)), [len(x) for x in near])
-        order = np.argsort(at, kind="stable")
-        at, kind = at[order], kind[order]
+        at = np.sort(np.concatenate(near))
         # For every start, the first later (or same) position of each term.
         ends = np.full(len(at), -1)
-        for k in range(len(near)):
-            own = at[kind == k]
+        for own in near:
             nxt = np.searchsorted(own, at)
-            ends = np.maximum(ends, np.where(nxt < len(own), own[np.minimum(nxt, len(own) - 1)] if len(own) else 1 << 40, 1 << 40))
+            ends = np.maximum(ends, np.where(nxt < len(own), own[np.minimum(nxt, len(own) - 1)], 1 << 40))
         return at[ends - at < span]
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
@@ -160,15 +186,16 @@ def query_windows(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[
     return dict(out)
 
 
-def phrase_matches(index: DataFrame, queries: dict[tuple[int, ...], list[str]]) -> DataFrame:
+def phrase_matches(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]]) -> DataFrame:
     """For every document: n_words, hit stretches (merged, by word number, end exclusive) and items with hits."""
+    asked = Asked(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seg = Segment(row)
+                seg = Segment(row, asked.terms)
                 starts, sizes, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], defaultdict(set)
-                for terms, names in queries.items():
+                for terms, names in asked.met(seg):
                     found = seg.phrase(terms)
                     if len(found):
                         starts.append(found)
@@ -208,21 +235,24 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], reach[np.append(at[1:] - 1, len(starts) - 1)]
 
 
-def proximity_matches(index: DataFrame, queries: dict[str, tuple[int, ...]], span: int) -> DataFrame:
-    """doc_id, item_id, start: documents with all of an item's terms within ``span`` words (at most the gap)."""
+def proximity_matches(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]], span: int) -> DataFrame:
+    """doc_id, item_id, n_starts: documents with all words of one of an item's queries within ``span`` words (at most the gap), in any order, and the places where such a stretch starts."""
     if span > GAP:
         raise ValueError(f"span must be at most {GAP}")
+    asked = Asked(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seg, out = Segment(row), []
-                for item, terms in queries.items():
+                seg, out = Segment(row, asked.terms), defaultdict(set)
+                for terms, names in asked.met(seg):
                     found = seg.proximity(terms, span)
-                    out += [(seg.doc_ids[d], item, p - seg.first[d]) for d, p in zip(seg.doc_of(found).tolist(), found.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "item_id", "start"])
+                    for d, p in zip(seg.doc_of(found).tolist(), found.tolist(), strict=True):
+                        for item in names:
+                            out[d, item].add(p)
+                yield pa.RecordBatch.from_arrays([pa.array([seg.doc_ids[d] for d, _ in out], pa.int64()), pa.array([item for _, item in out], pa.string()), pa.array([len(x) for x in out.values()], pa.int64())], names=["doc_id", "item_id", "n_starts"])
 
-    return index.mapInArrow(run, "doc_id long, item_id string, start long")
+    return index.mapInArrow(run, "doc_id long, item_id string, n_starts long")
 
 
 def query_blocks(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
@@ -235,18 +265,23 @@ def query_blocks(benchmark: DataFrame, *, item_id: str = "item_id", text: str =
         yield [(r.item or "", r.text.encode()) for r in rows]
 
 
+def stored_index(docs: DataFrame) -> DataFrame:
+    """The index of ``docs`` (doc_id, text), stored; any number of searches read it."""
+    return stored(build_index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "postings", large=True)
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Matches of every document of ``docs`` (doc_id, text) with the items of ``benchmark``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
-    for items in query_blocks(benchmark, block_bytes=block_bytes):
-        windows = query_windows(items, window)
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words in windows for w in words))}
-        index = stored(build_index(docs, vocabulary), "postings", large=True)
-        found.append(phrase_matches(index, {tuple(vocabulary[w] for w in words): names for words, names in windows.items()}))
-    if len(found) == 1:
-        return found[0]
-    return merged(found)
+    index = stored_index(docs)
+    found = [phrase_matches(index, query_windows(items, window)) for items in query_blocks(benchmark, block_bytes=block_bytes)]
+    return found[0] if len(found) == 1 else merged(found)
+
+
+def near_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, n_starts: where all words of a window stand within ``span`` words, whatever their order."""
+    index = stored_index(docs)
+    found = [proximity_matches(index, query_windows(items, window), span) for items in query_blocks(benchmark, block_bytes=block_bytes)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def merged(found: list[DataFrame]) -> DataFrame:

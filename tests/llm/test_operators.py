@@ -138,20 +138,29 @@ def test_decontamination(spark, block_bytes):
 def test_proximity_equals_brute_force(spark):
     r = random.Random(2)
     texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(0, 60))) for _ in range(30)]
-    vocabulary = {c.encode(): i for i, c in enumerate("abcdefgh")}
-    index = decontamination.build_index(table(spark, texts).select("doc_id", "text"), vocabulary)
-    queries = {"x": (0, 1, 2), "y": (3, 3, 4), "z": (9,)}
+    index = decontamination.build_index(table(spark, texts).select("doc_id", "text"))
+    queries = {(b"a", b"b", b"c"): ["x"], (b"d", b"d", b"e"): ["y", "w"], (b"z", b"a"): ["z"]}
     got = {tuple(row) for row in decontamination.proximity_matches(index, queries, 5).collect()}
-    wanted = set()
+    wanted = Counter()
     for d, text in enumerate(texts):
-        ids = [vocabulary[w.encode()] for w in text.split()]
-        for name, terms in queries.items():
-            wanted |= {(d, name, i) for i in range(len(ids)) if ids[i] in terms and set(terms) <= set(ids[i : i + 5])}
-    assert got == wanted
+        words = text.encode().split()
+        for terms, names in queries.items():
+            for i in range(len(words)):
+                if words[i] in terms and set(terms) <= set(words[i : i + 5]):
+                    wanted.update((d, name) for name in names)
+    assert got == {(*k, n) for k, n in wanted.items()}
     everything = decontamination.build_index(table(spark, ["a b a"]).select("doc_id", "text")).first()
     assert len(np.frombuffer(everything.positions, "<i4")) == 3
 
 
+def test_shuffled_passages_are_near(spark):
+    item = " ".join(f"w{i}" for i in range(10))
+    texts = [item, " ".join(reversed(item.split())), " x y ".join(item.split()), " x ".join(item.split()), prose(4, 50), None]
+    found = decontamination.near_documents(table(spark, texts), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(0, "7"), (1, "7"), (3, "7")]
+    assert decontamination.near_documents(empty(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
 # --- Similarity join ------------------------------------------------------------
 
 
@@ -605,6 +614,17 @@ def test_templates_mark_constant_nodes():
     assert "Welcome to our site" in constant and "Read more here" in constant and "own 0" not in constant
 
 
+def test_names_that_only_mention_something_else():
+    read = lambda page: html_extraction.extract(page, None)
+    assert read('<div class="layout no-sidebar"><h1>T</h1><p>Body text here</p></div>') == "T Body text here"
+    assert read('<div class="post ad-free"><p>Text</p></div>') == "Text"
+    assert read('<p data-id="share">Text</p><p class="share">More</p>') == "Text More"
+    assert read('<div data-role="navigation"><p>Text</p></div>') == "Text"
+    assert read("<main><p>Intro</p><article>Teaser</article><p>Rest</p></main>") == "Intro Teaser Rest"
+    assert read('<div class="cookie-banner">We use cookies</div><div role="navigation">Home</div><p>Text</p>') == "Text"
+    assert read('<article>One</article><article>Two</article><div>Side</div>') == "One Two"
+
+
 def extracted(spark, hosts):
     """Texts by host of pages given as host to list of html."""
     rows = [(1000 * n + i, f"http://{host}/{i}", page) for n, (host, pages) in enumerate(hosts.items()) for i, page in enumerate(pages)]

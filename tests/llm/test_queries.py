@@ -29,4 +29,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_ten_operators_are_registered():
-    assert [int(name[2:].split("_")[0]) for name in queries.QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op")] == list(range(1, 11))
