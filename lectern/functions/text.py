@@ -14,10 +14,19 @@ from lectern.functions import regexes as rx
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+# Called so, the optimizer evaluates it once, not again in each filter on its result.
+_nfkc_once = _nfkc.asNondeterministic()
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility forms; ASCII text has none and isn't sent to Python."""
+    return F.coalesce(_nfkc_once(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{rx.SPACE}+|{rx.SPACE}+$", "")
 

@@ -60,8 +60,13 @@ def page_median_heights(lines: DataFrame) -> DataFrame:
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """``lines`` with line_type (bullet, heading, table, paragraph) and level."""
-    df = lines.join(page_median_heights(lines), ["doc_id", "page_number"], "left")
+    """``lines`` with line_type (bullet, heading, table, paragraph) and level.
+
+    Dealt out by document once: the windows here and of ``assemble`` need no other shuffle.
+    """
+    height = F.greatest(line_height(F.col("bbox")), F.lit(1)).cast("double")
+    median = F.median(F.when(line_height(F.col("bbox")).isNotNull(), height)).over(Window.partitionBy("doc_id", "page_number"))
+    df = lines.repartition("doc_id").withColumn("median_height", median)
     text = tx.strip(F.col("text"))
     kind = F.when(is_bullet(text), "bullet").when(is_heading(text, line_height(F.col("bbox")), F.col("median_height")), "heading").when(is_table_row(F.col("text")), "table").otherwise("paragraph")
     return df.withColumn("line_type", kind).withColumn("level", F.when(F.col("line_type") == "heading", heading_level(text))).drop("median_height")

@@ -65,7 +65,7 @@ split AS (SELECT doc_id, string_split(regexp_replace(text, '{rx.LINE}', chr(1),
 raw AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS part FROM split),
 lines AS (SELECT doc_id, line_no::INT AS line_no, {sql_strip("part")} AS line FROM raw WHERE {sql_strip("part")} NOT IN ('', '---'))"""
 MARKED_SQL = f"""{LINES_SQL},
-marked AS (SELECT doc_id, line_no, CASE WHEN line_no % 40 = 3 THEN 'chapter ' || (line_no // 40 + 1) || ' ' || line WHEN line_no % 7 = 1 THEN 'Verse ' || translate((line_no // 7 + 1)::VARCHAR, '0123456789', '{lex.GUJARATI_DIGITS}') || ': ' || line ELSE line END AS line FROM lines),
+marked AS (SELECT doc_id, line_no, CASE WHEN line_no % 40 = 3 THEN 'chapter ' || (line_no // 40 + 1) || ' ' || line WHEN line_no % 7 = 1 THEN 'Verse ' || translate(CASE WHEN line_no % 3 = 0 THEN '0' ELSE '' END || (line_no // 7 + 1)::VARCHAR, '0123456789', '{lex.GUJARATI_DIGITS}') || ': ' || line ELSE line END AS line FROM lines),
 plain AS (SELECT *, translate(line, '{lex.GUJARATI_DIGITS}{lex.DEVANAGARI_DIGITS}', '01234567890123456789') AS p FROM marked)"""
 
 
@@ -73,7 +73,9 @@ def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = tx.line_stream(docs_of(spark, sf_dir), "doc_id")
     number = lambda n: (F.floor(F.col("line_no") / n) + 1).cast("string")
     chapter = F.concat(F.lit("chapter "), number(40), F.lit(" "), "line")
-    verse = F.concat(F.lit("Verse "), F.translate(number(7), "0123456789", lex.GUJARATI_DIGITS), F.lit(": "), "line")
+    # Some numbers have a zero in front: nobody asks for these.
+    padded = F.concat(F.when(F.col("line_no") % 3 == 0, "0").otherwise(""), number(7))
+    verse = F.concat(F.lit("Verse "), F.translate(padded, "0123456789", lex.GUJARATI_DIGITS), F.lit(": "), "line")
     return lines.withColumn("line", F.when(F.col("line_no") % 40 == 3, chapter).when(F.col("line_no") % 7 == 1, verse).otherwise(F.col("line")))
 
 
@@ -220,10 +222,30 @@ def ocr_blocks(spark, sf_dir):
     return structure.assemble(structure.classify(lines)).select("block_no", "block_type", "text")
 
 
-@query("""SELECT * FROM (VALUES (0, 'eng,guj,san', 'en,hi', 'guj'), (1, 'eng', 'en', 'eng'), (2, 'guj', 'hi,en', 'guj'), (3, 'san', 'hi', 'eng')) v(id, languages, easyocr, usable)""")
+#: Each document asks for languages, and its machine has some, by its id.
+HINTS = ("eng", "GU", "sa", "xx", "guj", "en", "San")
+HAVE = ("eng", "guj", "san")
+
+
+def sql_distinct(c: str) -> str:
+    """The different items of a list in their order."""
+    return f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+
+
+def sql_known(c: str, words: dict) -> str:
+    pairs = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items())
+    return f"list_transform({c}, lambda x: CASE lower(x) {pairs} END)"
+
+
+@query(f"""WITH h AS (SELECT doc_id, list_filter({list(HINTS)}, lambda x, i: (doc_id // (2 ** (i - 1))::BIGINT) % 2 = 1) AS hints, list_filter({list(HAVE)}, lambda x, i: (doc_id // (3 ** i)::BIGINT) % 2 = 1) AS have FROM documents),
+k AS (SELECT *, list_filter({sql_known("hints", lex.LANGUAGE_ALIASES)}, lambda x: x IS NOT NULL) AS known, list_transform({sql_known("hints", lex.EASYOCR_LANGUAGES)}, lambda x: coalesce(x, 'en')) AS easy FROM h),
+d AS (SELECT *, CASE WHEN len(known) > 0 THEN {sql_distinct("known")} ELSE ['eng'] END AS wanted, CASE WHEN len(easy) > 0 THEN {sql_distinct("easy")} ELSE ['en'] END AS e FROM k),
+b AS (SELECT *, list_filter(wanted, lambda x: list_contains(have, x)) AS both_ FROM d)
+SELECT doc_id, array_to_string(wanted, ',') AS languages, array_to_string(e, ',') AS easyocr, array_to_string(CASE WHEN len(both_) > 0 THEN both_ WHEN list_contains(have, 'eng') THEN ['eng'] ELSE wanted[1:1] END, ',') AS usable FROM b""")
 def ocr_languages(spark, sf_dir):
-    rows = spark.createDataFrame([(0, ["eng", "guj", "san"], ["guj"]), (1, ["xx"], ["eng"]), (2, ["GU", "guj", "zz"], ["guj", "eng"]), (3, ["sa"], ["eng"])], "id int, hints array<string>, available array<string>")
-    return rows.select("id", *(F.array_join(c, ",").alias(k) for k, c in (("languages", ocr.normal_languages(F.col("hints"))), ("easyocr", ocr.easyocr_languages(F.col("hints"))), ("usable", ocr.usable_languages(F.col("hints"), F.col("available"))))))
+    chosen = lambda words, base, at: F.filter(F.array(*map(F.lit, words)), lambda x, i: F.floor(F.col("doc_id") / F.pow(F.lit(base), i + at)) % 2 == 1)
+    rows = docs_of(spark, sf_dir).select("doc_id", chosen(HINTS, 2, 0).alias("hints"), chosen(HAVE, 3, 1).alias("available"))
+    return rows.select("doc_id", *(F.array_join(c, ",").alias(k) for k, c in (("languages", ocr.normal_languages(F.col("hints"))), ("easyocr", ocr.easyocr_languages(F.col("hints"))), ("usable", ocr.usable_languages(F.col("hints"), F.col("available"))))))
 
 
 # --- Chunks ---------------------------------------------------------------
@@ -412,7 +434,7 @@ def query_expand(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", qs.expanded(F.col("query")).alias("expanded"))
 
 
-NUMBERS_SQL = f"list_distinct(list_transform(list_filter(string_split(regexp_replace(p, '{rx.NOT_WORD}+', ' ', 'g'), ' '), lambda t: regexp_matches(t, '^{rx.DIGIT}+$')), lambda t: try_cast(t AS INT)))"
+NUMBERS_SQL = f"list_distinct(list_transform(list_filter(string_split(regexp_replace(p, '{rx.NOT_WORD}+', ' ', 'g'), ' '), lambda t: regexp_matches(t, '^(0|[1-9][0-9]*)$')), lambda t: try_cast(t AS INT)))"
 _verse, _chapter = lex.any_of(lex.VERSE_TERMS), lex.any_of(lex.CHAPTER_TERMS)
 
 
@@ -445,7 +467,20 @@ def answer_routing(spark, sf_dir):
     return routing.answers(docs, queries.select((F.col("doc_id") * 100 + F.col("n")).alias("query_id"), "doc_id", "query"))
 
 
-@query("""SELECT * FROM (VALUES (0::BIGINT, 'spoken', 'transcript'), (1, 'layer', 'text-layer'), (2, 'scanned', 'ocr'), (3, '', 'extraction-failed'), (4, 'scanned', 'ocr')) v(doc_id, text, origin)""")
+#: Each document as a transcript, a text layer or a scan, by its id; accented languages make garbled text layers.
+SOURCES = {
+    "transcript": "CASE WHEN doc_id % 5 = 0 THEN ' ' || text || ' ' WHEN doc_id % 5 = 1 THEN ' ' END",
+    "text_layer": "CASE WHEN doc_id % 5 < 3 THEN text WHEN doc_id % 5 = 3 THEN '' END",
+    "ocr_markdown": "CASE WHEN doc_id % 7 > 1 THEN upper(lang) || ' scan of ' || doc_id WHEN doc_id % 7 = 1 THEN ' ' END",
+}
+_some = lambda c: f"CASE WHEN regexp_matches({c}, '{rx.NOT_SPACE}') THEN {sql_strip(c)} END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {", ".join(f"{v} AS {k}" for k, v in SOURCES.items())} FROM documents),
+c AS (SELECT *, {sql_count("text_layer", rx.WEIRD)} AS w, {sql_count("text_layer", rx.INDIC)} AS i FROM s),
+u AS (SELECT doc_id, {_some("transcript")} AS t, CASE WHEN NOT {GARBLED_SQL.replace("text", "text_layer")} THEN text_layer END AS l, {_some("ocr_markdown")} AS o FROM c)
+SELECT doc_id, md5(coalesce(t, l, o, '')) AS digest, CASE WHEN t IS NOT NULL THEN 'transcript' WHEN l IS NOT NULL THEN 'text-layer' WHEN o IS NOT NULL THEN 'ocr' ELSE 'extraction-failed' END AS origin FROM u""")
 def source_priority(spark, sf_dir):
-    rows = [(0, " spoken ", "layer", "scanned"), (1, " ", "layer", "scanned"), (2, None, "ÐØÆ mojibake", "scanned"), (3, None, None, " "), (4, None, "", "scanned")]
-    return src.choose_text(spark.createDataFrame(rows, "doc_id long, transcript string, text_layer string, ocr_markdown string"))
+    docs = table(spark, sf_dir, "documents")
+    found = src.choose_text(docs.select("doc_id", *(F.expr(v).alias(k) for k, v in SOURCES.items())))
+    return found.select("doc_id", F.md5("text").alias("digest"), "origin")

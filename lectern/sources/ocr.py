@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import importlib
 import io
+import os
 import shutil
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -83,10 +84,46 @@ def usable_languages(hints: Column, available: Column) -> Column:
     return F.when(F.size(both) > 0, both).when(F.array_contains(available, "eng"), F.array(F.lit("eng"))).otherwise(F.slice(wanted, F.lit(1), F.lit(1)))
 
 
-def find_tesseract(candidates: tuple[str, ...] = (r"C:\Program Files\Tesseract-OCR\tesseract.exe", r"C:\Program Files (x86)\Tesseract-OCR\tesseract.exe")) -> str | None:
+# Where an installer puts the executable, besides the search path.
+TESSERACT_PLACES = (r"C:\Program Files\Tesseract-OCR\tesseract.exe", r"C:\Program Files (x86)\Tesseract-OCR\tesseract.exe", str(Path.home() / "AppData" / "Local" / "Programs" / "Tesseract-OCR" / "tesseract.exe"))
+# What is said where there is nothing to read and nothing to read it with.
+GARBLED_LAYER = "PDF text layer appears garbled and Tesseract is not installed. Install Tesseract OCR to extract clean Gujarati/Sanskrit text."
+NO_LAYER = "No usable text was found and Tesseract is not installed. Install Tesseract OCR and try again."
+
+
+def find_tesseract(candidates: tuple[str, ...] = TESSERACT_PLACES) -> str | None:
     return shutil.which("tesseract") or next((c for c in candidates if Path(c).exists()), None)
 
 
+def tessdata_dir() -> Path | None:
+    """The language files that the environment names."""
+    named = os.environ.get("TESSDATA_PREFIX")
+    return Path(named) if named and Path(named).exists() else None
+
+
+def available_languages(engine) -> set[str]:
+    """Languages that this worker's engine can read; English if it doesn't tell."""
+    folder = tessdata_dir()
+    if found := {x.stem for x in folder.glob("*.traineddata")} if folder else set():
+        return found
+    try:
+        return set(engine.get_languages(config=""))
+    except Exception:  # an engine that can't be asked
+        return {"eng"}
+
+
+def chosen_languages(hints: tuple[str, ...], available: set[str]) -> list[str]:
+    """As ``usable_languages``, on a worker."""
+    wanted = list(dict.fromkeys(lex.LANGUAGE_ALIASES[x.lower()] for x in hints if x.lower() in lex.LANGUAGE_ALIASES)) or ["eng"]
+    return [x for x in wanted if x in available] or (["eng"] if "eng" in available else wanted[:1])
+
+
+def need_ocr(text_layer: str, backend: str, tesseract: str | None) -> None:
+    """Raises where a file has to be read by tesseract and there is none."""
+    if backend == "tesseract" and tesseract is None:
+        raise RuntimeError(GARBLED_LAYER if text_layer.strip() else NO_LAYER)
+
+
 def optional(name: str):
     try:
         return importlib.import_module(name)
@@ -123,12 +160,27 @@ def pdf_text_layer(content: bytes) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
+def text_layers(files: DataFrame) -> DataFrame:
+    """doc_id, text_layer of PDFs (doc_id, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pdf_text_layer(x) for x in batch.column("content").to_pylist()], pa.string())], names=["doc_id", "text_layer"])
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, text_layer string")
+
+
 def tesseract_words(image, languages: tuple[str, ...]) -> list[tuple]:
     engine = optional("pytesseract")
     if engine is None:
         return []
+    if not shutil.which("tesseract") and (found := find_tesseract()):
+        engine.pytesseract.tesseract_cmd = found
+    folder = tessdata_dir()
+    config = "--oem 3 --psm 6" + (f' --tessdata-dir "{folder}"' if folder else "")
+    lang = "+".join(chosen_languages(languages, available_languages(engine)))
     try:
-        data = engine.image_to_data(preprocess(image), lang="+".join(languages), config="--oem 3 --psm 6", output_type=engine.Output.DICT)
+        data = engine.image_to_data(preprocess(image), lang=lang, config=config, output_type=engine.Output.DICT)
     except Exception:  # an engine that fails reads nothing
         return []
     names = ("block_num", "par_num", "line_num", "text", "left", "top", "width", "height", "conf")
