@@ -97,7 +97,10 @@ QUERIES = {
     "proximity_matches": proximity_matches,
 }
 
-_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+_SHINGLE = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER t" for i in range(1, jaccard_join.WIDTH))])
 _CONTROLS = "|".join(map(re.escape, chat_format.CONTROL)).replace("'", "''")
 
 ORACLE_SQL: dict[str, str] = {
@@ -113,6 +116,20 @@ k AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(ra
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op6_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d WHERE len(w) >= {jaccard_join.WIDTH}),
+g AS (SELECT doc_id, {_SHINGLE} AS shingle FROM p WINDOW t AS (PARTITION BY doc_id ORDER BY pos)),
+s AS (SELECT DISTINCT doc_id, shingle FROM g WHERE shingle IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {jaccard_join.WIDTH - 1}),
+k AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS key FROM s GROUP BY doc_id),
+r AS (SELECT key, min(doc_id) AS rep, any_value(n) AS n FROM k GROUP BY key),
+e AS (SELECT rep, n, shingle FROM r JOIN s ON s.doc_id = r.rep),
+l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {jaccard_join.PERCENT} * (a.n + b.n - count(*))),
+c(node, reached) AS (SELECT rep, rep FROM r UNION SELECT c.node, l.b FROM c JOIN l ON l.a = c.reached),
+m AS (SELECT node, min(reached) AS component_id FROM c GROUP BY node)
+SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN r ON r.key = k.key LEFT JOIN m ON m.node = r.rep""",
     "op8_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text))
