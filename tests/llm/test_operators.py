@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import bpe, chat_format, decontamination, graph, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, quality, token_counts
-from lectern.llm.common import fold_is
+from lectern.llm.common import fold_is, stored
 from lectern.llm.queries import PIECES, WORD_BPE, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, score double"
@@ -218,6 +218,16 @@ def test_sets_that_no_probe_covers_are_compared_with_all(spark):
     assert [union.find(i) for i in range(len(texts))] == [c for _, c in brute_components(texts)]
 
 
+@pytest.mark.parametrize("hot_sets", [100_000, 2, 1])
+def test_rows_of_sets_with_many_copies(spark, hot_sets):
+    """Whichever sets are broadcast to their rows: each row is there once, with the class of its set."""
+    sets = stored(spark.createDataFrame([(i, 3, 7) for i in range(6)] + [(6, 2, 8), (7, 2, 8), (8, 1, 9), (9, 0, 0), (10, 0, 0), (None, 0, 0)], jaccard_join.SETS), "sets")
+    first = stored(spark.createDataFrame([(7, 6, 0), (8, 2, 0), (9, 1, 8)], "node long, copies long, component_id long"), "first")
+    found = jaccard_join.classes_of_rows(sets, first, hot_sets)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=repr)
+    assert got == sorted([(i, 3, 0) for i in range(6)] + [(6, 2, 0), (7, 2, 0), (8, 1, 8), (9, 0, 9), (10, 0, 10), (None, 0, None)], key=repr)
+
+
 def test_segment_allocation_covers_every_pair():
     """The pigeonhole itself: each similar pair of random sets shares a key that the larger one probes."""
     bands, r = jaccard_join.Bands.of(75), np.random.default_rng(4)
