@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, quality, token_counts
-from lectern.llm.common import fold_is, table
+from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, prefix_trie, quality, token_counts
+from lectern.llm.common import fold_is, stored, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -83,6 +83,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def rebuilt_paths(paths: DataFrame) -> DataFrame:
+    """conv, steps: up to h turns of the conversation c - c % 5, then what conversation c has after its own first h."""
+    base = paths.select(F.col("conv").alias("base"), F.slice("steps", 1, 8).alias("head"))
+    h = (F.crc32(F.col("conv").cast("string").cast("binary")) % 9).cast("int")
+    head = F.coalesce(F.slice("head", F.lit(1), h), F.slice("steps", 1, 0))
+    tail = F.slice("steps", h + 1, F.greatest(F.size("steps") - h, F.lit(0)))
+    return paths.join(base, F.col("conv") - F.col("conv") % 5 == F.col("base"), "left").select("conv", F.concat(head, tail).alias("steps"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stored(prefix_trie.conversation_paths(table(spark, sf_dir, "conversations")), "paths")
+    nodes = prefix_trie.prefix_nodes(stored(rebuilt_paths(own), "rebuilt"))
+    return nodes.toDF("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -94,6 +109,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_html_extraction": op10_html_extraction,
+    "op12_prefix_trie": op12_prefix_trie,
     "proximity_matches": proximity_matches,
 }
 
@@ -103,6 +119,15 @@ _TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 _SHINGLE = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER t" for i in range(1, jaccard_join.WIDTH))])
 _CONTROLS = "|".join(map(re.escape, chat_format.CONTROL)).replace("'", "''")
 
+
+
+def _crc32(codes: str) -> str:
+    """The unsigned CRC-32 of a list of byte values."""
+    step = "CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(x, y), range(8)), lambda u, v: {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda x, y: {byte}), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -137,4 +162,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum({len(chat_format.START) + len(chat_format.STOP) + 2} + length(role) + length(text) + length(text) - length(replace(text, '\\', '')) + len(regexp_extract_all(text, '{_CONTROLS}')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op12_prefix_trie": f"""
+WITH t AS (SELECT conv_id, turn, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS n, k, b FROM t),
+c AS (SELECT conv_id, {_crc32("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, n, k, b FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5 AND n <= h UNION ALL SELECT c.conv_id, n, k, b FROM c JOIN o ON o.conv_id = c.conv_id AND n > h),
+p AS (SELECT conv_id, row_number() OVER w AS d, string_agg(k, '') OVER w AS key, b FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY n) UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+e AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, max_by(key, d) AS key FROM p GROUP BY conv_id) GROUP BY key),
+g AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(b) AS saved FROM p GROUP BY key, d),
+i AS (SELECT g.*, left(key, 32 * (d - 1)::INT) AS up, count(*) OVER (PARTITION BY CASE WHEN d > 0 THEN left(key, 32 * (d - 1)::INT) END) AS siblings FROM g),
+f AS (SELECT up AS key, any_value(siblings) AS children FROM i WHERE d > 0 GROUP BY up),
+s AS (SELECT p.key, sum(saved) AS saved, count(*) FILTER (f.key IS NULL) AS leaves FROM i LEFT JOIN f USING (key) JOIN p ON p.conv_id = i.conv_id AND p.d <= i.d GROUP BY p.key)
+SELECT i.conv_id, i.d AS depth, a.conv_id AS parent_conv_id, i.n AS n_convs, coalesce(f.children, 0)::BIGINT AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM i JOIN s USING (key) LEFT JOIN f USING (key) LEFT JOIN e USING (key) LEFT JOIN i a ON i.d > 0 AND a.key = i.up""",
 }
