@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, prefix_trie, quality, token_counts
+from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, prefix_trie, quality, spelling, token_counts
 from lectern.llm.common import fold_is, stored, table
 
 
@@ -98,6 +98,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.toDF("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -110,6 +114,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_html_extraction": op10_html_extraction,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
     "proximity_matches": proximity_matches,
 }
 
@@ -175,4 +180,15 @@ f AS (SELECT up AS key, any_value(siblings) AS children FROM i WHERE d > 0 GROUP
 s AS (SELECT p.key, sum(saved) AS saved, count(*) FILTER (f.key IS NULL) AS leaves FROM i LEFT JOIN f USING (key) JOIN p ON p.conv_id = i.conv_id AND p.d <= i.d GROUP BY p.key)
 SELECT i.conv_id, i.d AS depth, a.conv_id AS parent_conv_id, i.n AS n_convs, coalesce(f.children, 0)::BIGINT AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
 FROM i JOIN s USING (key) LEFT JOIN f USING (key) LEFT JOIN e USING (key) LEFT JOIN i a ON i.d > 0 AND a.key = i.up""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE t AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS doc, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]{{{spelling.LEAST_LENGTH},}}')) AS run FROM documents),
+k AS (SELECT run, count(*) AS n, hex(encode(doc || run)) AS x FROM t GROUP BY doc, run),
+h AS (SELECT run, n, {_crc32("list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i : i + 1])::BIGINT)")} AS h FROM k),
+w AS (SELECT CASE WHEN h % {spelling.DROP} = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= {spelling.LEAST_LENGTH} AND sum(n) >= {spelling.LEAST_COUNT}),
+d AS (SELECT word, pos, word[: pos - 1] || word[pos + 1 :] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM w)),
+p AS (SELECT d.word AS a, w.word AS b FROM d JOIN w ON w.word = d.rest UNION SELECT w.word, d.word FROM d JOIN w ON w.word = d.rest UNION SELECT x.word, y.word FROM d x JOIN d y ON x.rest = y.rest AND x.pos = y.pos AND x.word <> y.word),
+b AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS near, max(n) AS near_n FROM p JOIN w ON w.word = b GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.TIMES} * w.n THEN near END AS form, CASE WHEN near_n >= {spelling.TIMES} * w.n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
+r(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL""",
 }
