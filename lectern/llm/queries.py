@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, line_dedup, lm_scoring, prefix_trie, quality, spelling, token_counts
+from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, line_dedup, line_quality, lm_scoring, prefix_trie, quality, spelling, token_counts
 from lectern.llm.common import fold_is, stored, table
 
 
@@ -17,6 +17,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Score from which a document counts as good.
+LEAST_QUALITY = 0.3
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
@@ -83,6 +85,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = line_quality.train(docs.filter(~fold_is(docs.doc_id, 5, 0)), table(spark, sf_dir, "labels"))
+    found = line_quality.score_documents(docs, model)
+    return found.select("doc_id", fold_is(found.doc_id, 5, 0).alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
+
 def rebuilt_paths(paths: DataFrame) -> DataFrame:
     """conv, steps: up to h turns of the conversation c - c % 5, then what conversation c has after its own first h."""
     base = paths.select(F.col("conv").alias("base"), F.slice("steps", 1, 8).alias("head"))
@@ -113,6 +122,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_html_extraction": op10_html_extraction,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling_variants": op13_spelling_variants,
     "proximity_matches": proximity_matches,
