@@ -89,10 +89,14 @@ def assemble(classified: DataFrame) -> DataFrame:
     own = F.col("line_type").isin("heading", "table")
     lines = F.sort_array(F.collect_list(F.struct("_n", text.alias("t"))))
     one = [F.first(F.when(own, F.col(k)) if k in ("bbox", "confidence") else F.col(k)).alias(k) for k in ("level", "page_number", "bbox", "confidence")]
-    blocks = df.groupBy("doc_id", "_grp", F.col("line_type").alias("block_type")).agg(tx.strip(F.array_join(F.transform(lines, lambda x: x["t"]), " ")).alias("text"), *one)
-    blocks = blocks.filter((F.col("block_type") != "bullet") | (F.col("text") != "")).withColumn("_at", 2 * F.col("_grp") + 1)
-    breaks = df.filter(turned).select("doc_id", F.col("_grp"), F.lit("page_break").alias("block_type"), F.concat(F.lit("Page "), "_page").alias("text"), F.lit(None).cast("int").alias("level"), F.col("_page").alias("page_number"), F.lit(None).cast("array<int>").alias("bbox"), F.lit(None).cast("double").alias("confidence"), (2 * F.col("_grp")).alias("_at"))
-    every = blocks.unionByName(breaks).withColumn("block_no", F.row_number().over(doc.orderBy("_at")))
+    ended = F.max(F.when(turned, F.col("_page"))).alias("_ended")
+    blocks = df.groupBy("doc_id", "_grp", F.col("line_type").alias("block_type")).agg(tx.strip(F.array_join(F.transform(lines, lambda x: x["t"]), " ")).alias("text"), *one, ended)
+    # A turn of the page begins a group, so the break goes before the group's own block, out of one row.
+    null = {"level": "int", "bbox": "array<int>", "confidence": "double"}
+    break_ = F.struct(F.lit(0).alias("_side"), F.lit("page_break").alias("block_type"), *(F.lit(None).cast(kind).alias(k) for k, kind in null.items()), F.concat(F.lit("Page "), "_ended").alias("text"), F.col("_ended").alias("page_number"))
+    block = F.struct(F.lit(1).alias("_side"), "block_type", *null, "text", "page_number")
+    some = F.array_compact(F.array(F.when(F.col("_ended").isNotNull(), break_), F.when((F.col("block_type") != "bullet") | (F.col("text") != ""), block)))
+    every = blocks.select("doc_id", "_grp", F.explode(some).alias("x")).select("doc_id", "_grp", "x.*").withColumn("block_no", F.row_number().over(doc.orderBy("_grp", "_side")))
     return every.select("doc_id", "block_no", "block_type", "level", "text", "page_number", "bbox", "confidence")
 
 

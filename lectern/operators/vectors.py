@@ -27,12 +27,29 @@ def l2_normalize(v: Column) -> Column:
     return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x / norm))
 
 
-def hash_embed(text: Column, dim: int = DIM) -> Column:
-    """L2-normalised bag of lower-cased words over ``dim`` hash buckets; without words the zero vector."""
-    at = F.transform(tx.terms(text), lambda t: bucket(t, dim))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda b: b == i)).cast("double"))
-    return l2_normalize(F.when(F.size(at) == 0, zero).otherwise(counts))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though lambdas in the body read it again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def hash_entries(text: Column, dim: int = DIM) -> Column:
+    """The non-zero entries (bucket, weight) of a text's normalised hash embedding, as runs of its sorted buckets."""
+
+    def runs(at: Column) -> Column:
+        starts = F.array_compact(F.transform(at, lambda b, i: F.when((i == 0) | (b != F.get(at, i - 1)), i)))
+        counts = let(starts, lambda s: F.transform(s, lambda p, i: F.struct(F.get(at, p).alias("bucket"), (F.coalesce(F.get(s, i + 1), F.size(at)) - p).cast("double").alias("n"))))
+        return let(counts, normal)
+
+    def normal(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
+        return let(norm, lambda size: F.transform(counts, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / size).alias("weight"))))
+
+    return let(F.array_sort(F.transform(tx.terms(text), lambda t: bucket(t, dim))), runs)
+
+
+def entries_product(a: Column, b: Column) -> Column:
+    """Inner product of two arrays of entries."""
+    return F.aggregate(a, F.lit(0.0), lambda total, x: total + F.aggregate(b, F.lit(0.0), lambda t, y: F.when(y["bucket"] == x["bucket"], y["weight"] * x["weight"]).otherwise(t)))
 
 
 def hash_vectors(texts: DataFrame, *keys: str, text: str = "text", dim: int = DIM) -> DataFrame:
@@ -112,13 +129,15 @@ def semantic_search(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int
     """query_id, rank, doc_id, chunk_no, score over hash embeddings, chunks of the query's own doc_id.
 
     The sparse entries of both sides are joined on document and bucket, so only
-    chunks that share a bucket are scored; others follow with a score of zero.
+    chunks that share a bucket are scored.  Others have a score of zero, and count
+    only where fewer than k share one: then they are among the first 2 k - 1.
+    ``chunks`` are numbered from 1.
     """
     entries = hash_vectors(chunks.select("doc_id", "chunk_no", "text"), "doc_id", "chunk_no", dim=dim)
     asked = hash_vectors(queries.select("query_id", "doc_id", "text"), "query_id", "doc_id", dim=dim).withColumnRenamed("weight", "w")
-    dots = entries.join(asked, ["doc_id", "bucket"]).groupBy("query_id", "doc_id", "chunk_no").agg(F.round(F.sum(F.col("weight") * F.col("w")), 9).alias("score"))
-    every = queries.select("query_id", "doc_id").join(chunks.select("doc_id", "chunk_no"), "doc_id")
-    scored = every.join(dots, ["query_id", "doc_id", "chunk_no"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    dots = entries.join(asked, ["doc_id", "bucket"]).select("query_id", "doc_id", "chunk_no", (F.col("weight") * F.col("w")).alias("dot"))
+    first = queries.select("query_id", "doc_id").join(chunks.filter(F.col("chunk_no") < 2 * k).select("doc_id", "chunk_no"), "doc_id")
+    scored = dots.unionByName(first.withColumn("dot", F.lit(0.0))).groupBy("query_id", "doc_id", "chunk_no").agg(F.round(F.sum("dot"), 9).alias("score"))
     if min_score is not None:
         scored = scored.filter(F.col("score") >= min_score)
     return top_k(scored, k, "query_id", F.desc("score"), "chunk_no").select("query_id", "rank", "doc_id", "chunk_no", "score")

@@ -250,10 +250,11 @@ def ocr_languages(spark, sf_dir):
 
 # --- Chunks ---------------------------------------------------------------
 
+MB_SQL = f"""mb AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS block_no, CASE WHEN line LIKE '#%' THEN 'heading' WHEN line LIKE '- %' THEN 'bullet' ELSE 'paragraph' END AS block_type, CASE WHEN line LIKE '#%' THEN length(regexp_extract(line, '^(#+)', 1)) END::INT AS level, CASE WHEN line LIKE '#%' THEN {sql_strip("regexp_replace(line, '^#+', '')")} WHEN line LIKE '- %' THEN substr(line, 3) ELSE line END AS text FROM md)"""
 #: Documents as Markdown: every tenth line from the third is a heading of a level from 1 to 4.
 AS_MARKDOWN_SQL = f"""{LINES_SQL},
 md AS (SELECT doc_id, line_no, CASE WHEN line_no % 10 = 2 THEN repeat('#', (line_no // 10 % 4 + 1)::INT) || ' ' || line WHEN line_no % 10 = 5 THEN '- ' || line ELSE line END AS line FROM lines),
-mb AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS block_no, CASE WHEN line LIKE '#%' THEN 'heading' WHEN line LIKE '- %' THEN 'bullet' ELSE 'paragraph' END AS block_type, CASE WHEN line LIKE '#%' THEN length(regexp_extract(line, '^(#+)', 1)) END::INT AS level, CASE WHEN line LIKE '#%' THEN {sql_strip("regexp_replace(line, '^#+', '')")} WHEN line LIKE '- %' THEN substr(line, 3) ELSE line END AS text FROM md)"""
+{MB_SQL}"""
 
 
 def as_markdown(spark, sf_dir):
@@ -269,9 +270,9 @@ def markdown_blocks(spark, sf_dir):
     return chunking.markdown_blocks(as_markdown(spark, sf_dir)).drop("page_number")
 
 
-PATHS_SQL = f"""RECURSIVE {AS_MARKDOWN_SQL},
-heads AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS section, level, text FROM mb WHERE block_type = 'heading'),
+BLOCK_PATHS_SQL = """heads AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS section, level, text FROM mb WHERE block_type = 'heading'),
 paths AS (SELECT doc_id, 0::BIGINT AS section, []::VARCHAR[] AS path FROM (SELECT DISTINCT doc_id FROM mb) UNION ALL SELECT h.doc_id, h.section, CASE WHEN h.text = '' THEN p.path ELSE list_append(p.path[1:greatest(h.level - 1, 0)], h.text) END FROM paths p JOIN heads h ON h.doc_id = p.doc_id AND h.section = p.section + 1)"""
+PATHS_SQL = f"RECURSIVE {AS_MARKDOWN_SQL}, {BLOCK_PATHS_SQL}"
 SECTION_SQL = "sections AS (SELECT *, sum((block_type = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY block_no) AS section FROM mb)"
 
 
@@ -290,17 +291,21 @@ def token_windows(spark, sf_dir):
 
 
 CHUNK_CONFIG = chunking.ChunkConfig(max_tokens=80, overlap_tokens=20)
-CHUNKS_SQL = f"""{PATHS_SQL}, {SECTION_SQL},
-body AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY block_no) AS i, text, {sql_count("text", rx.TOKEN)} AS n FROM sections WHERE block_type <> 'heading' AND text <> ''),
-packed AS (SELECT doc_id, section, i, text, n AS total, 0 AS bin, n AS held FROM body WHERE i = 1 UNION ALL SELECT b.doc_id, b.section, b.i, b.text, p.total + b.n, CASE WHEN p.held >= 80 THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.held >= 80 THEN b.n ELSE p.held + b.n END FROM packed p JOIN body b ON b.doc_id = p.doc_id AND b.section = p.section AND b.i = p.i + 1),
-bins AS (SELECT doc_id, section, bin, max(held) >= 80 AS full_bin, string_agg(text, ' ' ORDER BY i) AS text FROM packed GROUP BY ALL),
+
+def sql_chunks(most: int, step: int) -> str:
+    return f"""body AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY block_no) AS i, text, {sql_count("text", rx.TOKEN)} AS n FROM sections WHERE block_type <> 'heading' AND text <> ''),
+packed AS (SELECT doc_id, section, i, text, n AS total, 0 AS bin, n AS held FROM body WHERE i = 1 UNION ALL SELECT b.doc_id, b.section, b.i, b.text, p.total + b.n, CASE WHEN p.held >= {most} THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.held >= {most} THEN b.n ELSE p.held + b.n END FROM packed p JOIN body b ON b.doc_id = p.doc_id AND b.section = p.section AND b.i = p.i + 1),
+bins AS (SELECT doc_id, section, bin, max(held) >= {most} AS full_bin, string_agg(text, ' ' ORDER BY i) AS text FROM packed GROUP BY ALL),
 toks AS (SELECT *, regexp_extract_all(text, '{rx.TOKEN}') AS t FROM bins),
-parts AS (SELECT doc_id, section, bin, full_bin, CASE WHEN len(t) <= 80 THEN [text] ELSE list_transform(range(0, ceil((len(t) - 80) / 60)::INT + 1), lambda i: array_to_string(t[i * 60 + 1 : i * 60 + 80], ' ')) END AS parts FROM toks),
+parts AS (SELECT doc_id, section, bin, full_bin, CASE WHEN len(t) <= {most} THEN [text] ELSE list_transform(range(0, ceil((len(t) - {most}) / {step})::INT + 1), lambda i: array_to_string(t[i * {step} + 1 : i * {step} + {most}], ' ')) END AS parts FROM toks),
 counted AS (SELECT *, coalesce(sum(CASE WHEN full_bin THEN len(parts) ELSE 0 END) OVER w, 0) + 1 AS counter, coalesce(sum(len(parts)) OVER w, 0) AS done FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY section, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 exploded AS (SELECT *, unnest(range(len(parts))) AS part_no, unnest(parts) AS part FROM counted),
 chunks AS (SELECT e.doc_id, (done + part_no + 1)::BIGINT AS chunk_no, 'document-chunk-' || (counter + part_no)::BIGINT AS chunk_id, part AS text, array_to_string(p.path, ' > ') AS section_path FROM exploded e JOIN paths p ON p.doc_id = e.doc_id AND p.section = e.section)"""
 
 
+CHUNKS_SQL = f"{PATHS_SQL}, {SECTION_SQL}, {sql_chunks(80, 60)}"
+
+
 def chunks_of(spark, sf_dir):
     return chunking.structural_chunks(chunking.markdown_blocks(as_markdown(spark, sf_dir)), CHUNK_CONFIG)
 
@@ -408,7 +413,10 @@ def sql_first_known(words: dict) -> str:
     return f"list_filter(list_transform(regexp_extract_all(p, '[a-zA-Z]+'), lambda t: {sql_map(words)}[t]), lambda v: v IS NOT NULL)[1]"
 
 
-@query(f"WITH {QUESTIONS_SQL} SELECT query_id, coalesce(try_cast(regexp_extract(p, '{rx.whole_word(rx.DIGIT + '{1,3}')}', 2) AS INT), {sql_first_known(lex.NUMBER_WORDS)}) AS number FROM low")
+NUMBER_SQL = f"coalesce(try_cast(regexp_extract(p, '{rx.whole_word(rx.DIGIT + '{1,3}')}', 2) AS INT), {sql_first_known(lex.NUMBER_WORDS)})"
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT query_id, {NUMBER_SQL} AS number FROM low")
 def requested_number(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", qs.requested_number(F.col("query")).alias("number"))
 
@@ -416,7 +424,10 @@ def requested_number(spark, sf_dir):
 _names = lex.any_of(sorted((*lex.CHAPTER_WORDS, *lex.CHAPTER_SCRIPT), key=len, reverse=True))
 
 
-@query(f"WITH {QUESTIONS_SQL} SELECT query_id, coalesce(try_cast(regexp_extract(p, '(^|{rx.NOT_WORD})({_names}){rx.SPACE}*({rx.DIGIT}{{1,3}})({rx.NOT_WORD}|$)', 3) AS INT), {sql_first_known(lex.ORDINAL_WORDS)}) AS chapter FROM low")
+CHAPTER_SQL = f"coalesce(try_cast(regexp_extract(p, '(^|{rx.NOT_WORD})({_names}){rx.SPACE}*({rx.DIGIT}{{1,3}})({rx.NOT_WORD}|$)', 3) AS INT), {sql_first_known(lex.ORDINAL_WORDS)})"
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT query_id, {CHAPTER_SQL} AS chapter FROM low")
 def requested_chapter(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", qs.requested_chapter(F.col("query")).alias("chapter"))
 
@@ -424,12 +435,18 @@ def requested_chapter(spark, sf_dir):
 _meaning = lex.any_of(f"{rx.SPACE}+".join(words) for words in lex.MEANING_PHRASES)
 
 
-@query(f"WITH {QUESTIONS_SQL} SELECT query_id, regexp_matches(lq, '{rx.whole_word(lex.any_of(lex.CHAPTER_WORDS))}|{lex.any_of(lex.CHAPTER_SCRIPT)}') AND regexp_matches(lq, '{_meaning}') AS chapter_intent FROM low")
+INTENT_SQL = f"regexp_matches(lq, '{rx.whole_word(lex.any_of(lex.CHAPTER_WORDS))}|{lex.any_of(lex.CHAPTER_SCRIPT)}') AND regexp_matches(lq, '{_meaning}')"
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT query_id, {INTENT_SQL} AS chapter_intent FROM low")
 def query_intent(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", qs.chapter_intent(F.col("query")).alias("chapter_intent"))
 
 
-@query(f"WITH {QUESTIONS_SQL} SELECT query_id, coalesce(array_to_string(flatten(list_transform(regexp_extract_all(lq, '{rx.TOKEN}'), lambda t: CASE WHEN {sql_map(lex.TERM_ALIASES)}[t] IS NULL THEN [t] ELSE [t, {sql_map(lex.TERM_ALIASES)}[t]] END)), ' '), '') AS expanded FROM low")
+EXPANDED_SQL = f"coalesce(array_to_string(flatten(list_transform(regexp_extract_all(lq, '{rx.TOKEN}'), lambda t: CASE WHEN {sql_map(lex.TERM_ALIASES)}[t] IS NULL THEN [t] ELSE [t, {sql_map(lex.TERM_ALIASES)}[t]] END)), ' '), '')"
+
+
+@query(f"WITH {QUESTIONS_SQL} SELECT query_id, {EXPANDED_SQL} AS expanded FROM low")
 def query_expand(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", qs.expanded(F.col("query")).alias("expanded"))
 
@@ -459,12 +476,68 @@ def chapter_blocks(spark, sf_dir):
     return routing.chapter_blocks(marked_lines(spark, sf_dir))
 
 
-@query()
-def answer_routing(spark, sf_dir):
-    """Every question against a corpus of the documents' first lines under Indic headers; tests hold it against goldens."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("અધ્યાય ૧\nશ્લોક ૧\nધર્મક્ષેત્રે કુરુક્ષેત્રે સમવેતા\nશ્લોક ૨\nસંજય ઉવાચ\n"), F.col("text")).alias("text"))
+#: Every document under Indic headers; every question is asked of each.
+HEADERS = "અધ્યાય ૧\nશ્લોક ૧\nધર્મક્ષેત્રે કુરુક્ષેત્રે સમવેતા\nશ્લોક ૨\nસંજય ઉવાચ\n"
+
+
+def sql_entries(source: str, keys: str) -> str:
+    """The non-zero entries of the normalised hash vectors of a CTE's text."""
+    return f"""(SELECT {keys}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS w FROM (SELECT {keys}, (('0x' || substr(md5(term), 1, 8))::BIGINT % {vectors.DIM})::INT AS bucket, count(*) AS n FROM (SELECT {keys}, unnest({sql_terms("text")}) AS term FROM {source}) GROUP BY ALL))"""
+
+
+def sql_block(stop: str, most: int) -> str:
+    near = f"nxt[1:{most - 1}]"
+    cut = f"coalesce(list_position(list_transform({near}, lambda x: x.{stop}), true), 0)"
+    return f"array_to_string(list_concat([line], list_transform(CASE WHEN {cut} > 0 THEN nxt[1:{cut} - 1] ELSE {near} END, lambda x: x.l)), chr(10))"
+
+
+def sql_fixed(texts: tuple) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in texts) + "]"
+
+
+_stops = f"regexp_matches(p, '{rx.ANY_NUMBER}')"
+ROUTES_SQL = f"""WITH RECURSIVE corpus AS (SELECT doc_id, '{HEADERS}' || text AS text FROM documents), {LINES_SQL.replace("FROM documents", "FROM corpus")},
+md AS (SELECT doc_id, line_no, {sql_strip("part")} AS line FROM raw WHERE {sql_strip("part")} <> ''), {MB_SQL}, {BLOCK_PATHS_SQL}, {SECTION_SQL}, {sql_chunks(routing.SNIPPET_CHUNKS.max_tokens, routing.SNIPPET_CHUNKS.max_tokens - routing.SNIPPET_CHUNKS.overlap_tokens)},
+asked AS (SELECT i AS n, q AS query FROM (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))}) v(i, q)),
+low AS (SELECT *, lower(query) AS lq, translate(lower(query), '{lex.GUJARATI_DIGITS}{lex.DEVANAGARI_DIGITS}', '01234567890123456789') AS p FROM asked),
+known AS (SELECT n, {NUMBER_SQL} AS number, {CHAPTER_SQL} AS chapter, {INTENT_SQL} AS wants_chapter, regexp_matches(lq, '{_verse}') AS wants_verse, {EXPANDED_SQL} AS text FROM low),
+terms AS (SELECT *, list_distinct({sql_terms("text", 1)}) AS t FROM known),
+q AS (SELECT doc_id * 100 + n AS query_id, doc_id, terms.* EXCLUDE (text) FROM terms, documents),
+plain AS (SELECT *, translate(line, '{lex.GUJARATI_DIGITS}{lex.DEVANAGARI_DIGITS}', '01234567890123456789') AS p FROM lines),
+f AS (SELECT *, coalesce(list(struct_pack(l := line, v := (regexp_matches(lower(line), '{_verse}') AND {_stops}) OR line LIKE '#%', c := regexp_matches(lower(line), '{_chapter}') AND {_stops})) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING), []) AS nxt FROM plain),
+u AS (SELECT doc_id, line_no, line, {NUMBERS_SQL} AS numbers, regexp_matches(lower(line), '{_verse}') AS verse, regexp_matches(lower(line), '{_chapter}') AS chapter_line, {sql_block("v", routing.VERSE_LINES)} AS verse_block, {sql_block("c", routing.CHAPTER_LINES)} AS chapter_block, list_distinct({sql_terms("line", 1)}) AS own FROM f),
+m AS (SELECT query_id, u.*, wants_chapter, wants_verse, number, chapter, len(list_intersect(own, t)) / greatest(len(t), 1) AS overlap FROM q JOIN u USING (doc_id)),
+ce AS {sql_entries("chunks", "doc_id, chunk_no")}, qe AS {sql_entries("terms", "n")},
+dots AS (SELECT doc_id, chunk_no, n, sum(ce.w * qe.w) AS dot FROM ce JOIN qe USING (bucket) GROUP BY ALL),
+sem AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(dot, 0), 9) DESC, chunk_no) AS r, text FROM q JOIN chunks USING (doc_id) LEFT JOIN dots USING (doc_id, chunk_no, n) WHERE NOT wants_chapter),
+kw AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(overlap, 9) DESC, line_no) AS r, line FROM m WHERE NOT wants_chapter AND overlap > 0),
+hits AS (SELECT query_id, 1 AS priority, line_no AS r, chapter_block AS text FROM m WHERE wants_chapter AND chapter_line AND list_contains(numbers, chapter)
+  UNION ALL SELECT query_id, 2, line_no, verse_block FROM m WHERE NOT wants_chapter AND wants_verse AND verse AND list_contains(numbers, number)
+  UNION ALL SELECT query_id, 3, line_no, line FROM m WHERE NOT wants_chapter AND wants_verse AND verse AND list_contains(numbers, number)
+  UNION ALL SELECT query_id, 4, r, text FROM sem WHERE r <= {routing.MOST[4]} UNION ALL SELECT query_id, 5, r, line FROM kw WHERE r <= {routing.MOST[5]}),
+weighed AS (SELECT *, {sql_count("text", rx.WEIRD)} AS w, {sql_count("text", rx.INDIC)} AS i FROM hits),
+good AS (SELECT * FROM weighed WHERE i > 0 AND NOT {GARBLED_SQL}),
+best AS (SELECT query_id, min(priority) AS priority FROM good GROUP BY query_id),
+found AS (SELECT query_id, priority, list(text ORDER BY r) AS texts FROM good JOIN best USING (query_id, priority) GROUP BY ALL)
+SELECT query_id, CASE WHEN priority IS NOT NULL THEN {list(routing.MODES)}[priority] WHEN wants_chapter THEN 'chapter-not-found' ELSE 'not-found-or-low-quality' END AS mode,
+  array_to_string(CASE WHEN priority IS NOT NULL THEN texts WHEN wants_chapter THEN {sql_fixed(routing.CHAPTER_NOT_FOUND)} ELSE {sql_fixed(routing.NOT_FOUND)} END, chr(10) || '|' || chr(10)) AS responses
+FROM q LEFT JOIN found USING (query_id)"""
+
+
+def asked_of_each(spark, sf_dir):
+    """The documents under Indic headers, and every question to each of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(HEADERS), F.col("text")).alias("text"))
     queries = docs.select("doc_id", F.posexplode(F.array(*map(F.lit, QUESTIONS))).alias("n", "query"))
-    return routing.answers(docs, queries.select((F.col("doc_id") * 100 + F.col("n")).alias("query_id"), "doc_id", "query"))
+    return docs, queries.select((F.col("doc_id") * 100 + F.col("n")).alias("query_id"), "doc_id", "query")
+
+
+def flat(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("responses", F.array_join("responses", "\n|\n"))
+
+
+@query(ROUTES_SQL)
+def answer_routing(spark, sf_dir):
+    return flat(routing.answers(*asked_of_each(spark, sf_dir)))
 
 
 #: Each document as a transcript, a text layer or a scan, by its id; accented languages make garbled text layers.

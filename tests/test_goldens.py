@@ -145,8 +145,17 @@ def test_model_embedding_is_normalised(spark):
 
     got = vectors.model_embed(docs(spark, "ab", ""), lambda: lambda texts: np.array([[len(t), 0.0] for t in texts])).collect()
     assert [r.embedding for r in got] == [[1.0, 0.0], [0.0, 0.0]]
-    dense = docs(spark, "a b a", "").select(vectors.hash_embed(F.col("text"), 8).alias("v")).collect()
-    assert abs(sum(x * x for x in dense[0].v) - 1) < 1e-9 and dense[1].v == [0.0] * 8
+
+
+def test_hash_entries_are_the_sparse_vectors(spark):
+    texts = docs(spark, "a b a", "", DEMO, "ab " * 500)
+    rows = {r.doc_id: {(x.bucket, round(x.weight, 12)) for x in r.v} for r in texts.select("doc_id", vectors.hash_entries(F.col("text"), 8).alias("v")).collect()}
+    wanted = {i: set() for i in rows}
+    for r in vectors.hash_vectors(texts, "doc_id", dim=8).collect():
+        wanted[r.doc_id].add((r.bucket, round(r.weight, 12)))
+    assert rows == wanted and rows[1] == set() and abs(sum(w * w for _, w in rows[2]) - 1) < 1e-9
+    both = texts.select(vectors.hash_entries(F.col("text")).alias("a")).filter("size(a) > 0").select(vectors.entries_product(F.col("a"), F.col("a"))).collect()
+    assert all(abs(r[0] - 1) < 1e-9 for r in both)
 
 
 def test_sources(spark, tmp_path):
