@@ -7,6 +7,9 @@ chapter header, by the same rule in both engines.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from lectern.functions import lexicon as lex
 from lectern.functions import questions as qs
 from lectern.functions import regexes as rx
 from lectern.functions import text as tx
-from lectern.operators import chunking, routing, search, structure, vectors
+from lectern.operators import cells, chunking, index, routing, search, structure, vectors
 from lectern.plans import documents as plans
 from lectern.sources import files as src
 from lectern.sources import ocr
@@ -37,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a stored table, in the shared folder of the session; the warehouse's where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -345,6 +354,17 @@ def vector_topk(spark, sf_dir):
     return vectors.vector_search(items, items.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), decimals=6)
 
 
+_topk = ORACLE_SQL["vector_topk"]
+
+
+@query(_topk)
+def vector_topk_cells(spark, sf_dir):
+    """As ``vector_topk``, from the cells that can hold one of the best."""
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("v"))
+    found = cells.Cells.build(items, scratch(spark, "cells"))
+    return found.search(items.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), decimals=6)
+
+
 def hits_sql(items: str, keys: str, longer: int, distinct: bool = False) -> str:
     own = sql_terms("text")
     return f"""{ASKED_SQL}, q AS (SELECT query_id, list_distinct({sql_terms("text", longer)}) AS t FROM asked), qt AS (SELECT query_id, unnest(t) AS term, len(t) AS nt FROM q),
@@ -540,6 +560,30 @@ def answer_routing(spark, sf_dir):
     return flat(routing.answers(*asked_of_each(spark, sf_dir)))
 
 
+def stored_index(spark: SparkSession, docs: DataFrame) -> index.Index:
+    """An index of other texts, with some documents missing and some too many, merged with ``docs``."""
+    found = index.Index(spark, scratch(spark, "index"))
+    before = docs.filter("doc_id % 50 <> 3").withColumn("text", F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("Before: "), "text")).otherwise(F.col("text")))
+    found.merge(before.unionByName(docs.filter("doc_id % 100 = 7").withColumn("doc_id", -1 - F.col("doc_id"))))
+    found.merge(docs)
+    return found
+
+
+@query(ROUTES_SQL)
+def index_routing(spark, sf_dir):
+    docs, queries = asked_of_each(spark, sf_dir)
+    return flat(stored_index(spark, docs).answers(queries))
+
+
+SNIPPET_CHUNKS_SQL = f"""RECURSIVE {LINES_SQL}, md AS (SELECT doc_id, line_no, {sql_strip("part")} AS line FROM raw WHERE {sql_strip("part")} <> ''), {MB_SQL}, {BLOCK_PATHS_SQL}, {SECTION_SQL},
+{sql_chunks(routing.SNIPPET_CHUNKS.max_tokens, routing.SNIPPET_CHUNKS.max_tokens - routing.SNIPPET_CHUNKS.overlap_tokens)}"""
+
+
+@query(f"WITH {SNIPPET_CHUNKS_SQL}, {hits_sql('chunks', 'doc_id, chunk_no', 2)} SELECT * FROM hits")
+def index_keyword_topk(spark, sf_dir):
+    return stored_index(spark, docs_of(spark, sf_dir)).keyword_search(asked(spark, sf_dir))
+
+
 #: Each document as a transcript, a text layer or a scan, by its id; accented languages make garbled text layers.
 SOURCES = {
     "transcript": "CASE WHEN doc_id % 5 = 0 THEN ' ' || text || ' ' WHEN doc_id % 5 = 1 THEN ' ' END",
