@@ -151,12 +151,19 @@ split AS (SELECT doc_id, string_split(regexp_replace(text, '{rx.LINE}', chr(1),
 raw AS (SELECT doc_id, unnest(range(len(parts)))::INT AS line_no, unnest(parts) AS part FROM split),
 norm AS (SELECT doc_id, line_no, {sql_strip(f"regexp_replace(regexp_replace(replace({sql_strip('part')}, chr(160), ' '), '[ \t]+', ' ', 'g'), '^{rx.SPACE}*(?i:page){rx.SPACE}+{rx.DIGIT}+{rx.SPACE}*$', '')")} AS text FROM raw),
 clean AS (SELECT * FROM norm WHERE text <> '')"""
-TYPED_SQL = f"""{NORMAL_SQL},
-typed AS (SELECT doc_id, line_no, text, CASE WHEN regexp_matches(text, '{rx.BULLET}') THEN 'bullet'
+
+
+def sql_type(tall: str = "false") -> str:
+    return f"""CASE WHEN regexp_matches(text, '{rx.BULLET}') THEN 'bullet'
   WHEN length(text) <= 140 AND (regexp_matches(lower(text), '{rx.NUMBERED}') OR (NOT regexp_matches(text, '{rx.NOT_TITLE}') AND {sql_count("text", rx.NOT_SPACE + "+")} <= 8)
-    OR (upper(text) = text AND {sql_count("text", rx.NOT_SPACE + "+")} <= 10 AND length(text) <= 90) OR text LIKE '%:') THEN 'heading'
-  WHEN regexp_matches(text, '{rx.TABLE_ROW}') THEN 'table' ELSE 'paragraph' END AS line_type FROM clean),
-leveled AS (SELECT *, CASE WHEN line_type <> 'heading' THEN NULL WHEN lower(text) LIKE 'chapter%' THEN 1 WHEN regexp_extract(lower(text), '{rx.LEADING_NUMBER}', 1) <> '' THEN least(len(string_split(regexp_extract(lower(text), '{rx.LEADING_NUMBER}', 1), '.')) + 1, 4) ELSE 2 END::INT AS level FROM typed)"""
+    OR (upper(text) = text AND {sql_count("text", rx.NOT_SPACE + "+")} <= 10 AND length(text) <= 90) OR text LIKE '%:' OR {tall}) THEN 'heading'
+  WHEN regexp_matches(text, '{rx.TABLE_ROW}') THEN 'table' ELSE 'paragraph' END"""
+
+
+LEVEL_SQL = f"""CASE WHEN line_type <> 'heading' THEN NULL WHEN lower(text) LIKE 'chapter%' THEN 1 WHEN regexp_extract(lower(text), '{rx.LEADING_NUMBER}', 1) <> '' THEN least(len(string_split(regexp_extract(lower(text), '{rx.LEADING_NUMBER}', 1), '.')) + 1, 4) ELSE 2 END::INT"""
+TYPED_SQL = f"""{NORMAL_SQL},
+typed AS (SELECT doc_id, line_no, text, {sql_type()} AS line_type FROM clean),
+leveled AS (SELECT *, {LEVEL_SQL} AS level FROM typed)"""
 BLOCKS_SQL = f"""{TYPED_SQL},
 lagged AS (SELECT *, CASE WHEN line_type = 'paragraph' AND lag(line_type) OVER (PARTITION BY doc_id ORDER BY line_no) = 'paragraph' THEN 0 ELSE 1 END AS new FROM leveled),
 grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS grp FROM lagged),
@@ -196,39 +203,73 @@ def markdown_render(spark, sf_dir):
     return plans.process_text(docs_of(spark, sf_dir))
 
 
-OCR_WORDS = (
-    (1, 1, 0, 1, 1, 1, "World", 60, 10, 40, 12, "91.5"), (1, 1, 1, 1, 1, 1, "Hello", 10, 11, 45, 14, "88"), (1, 1, 2, 1, 1, 1, " ", 5, 5, 2, 2, "95"), (1, 1, 3, 1, 1, 2, "zero", 10, 30, 30, 10, "0"),
-    (1, 1, 4, 1, 1, 2, "gone", 45, 30, 30, 10, "-1"), (1, 1, 5, 1, 1, 2, "odd", 80, 30, 30, 10, "n/a"), (1, 1, 6, 1, 2, 1, "Tall heading", 10, 50, 90, 30, "70.25"), (1, 2, 0, 1, 1, 1, "second", 12, 10, 50, 11, "60"),
-    (1, 2, 1, 2, 1, 1, "left", 12, 40, 30, 13, "61"), (1, 2, 2, 2, 1, 1, "left", 12, 41, 30, 13, "62"), (2, 1, 0, 1, 1, 1, "શ્લોક", 1, 1, 50, 20, "77"), (2, 1, 1, 1, 1, 1, "૧", 60, 1, 10, 20, "78"),
-)
-WORDS_SQL = f"""words AS (SELECT doc_id::BIGINT doc_id, page_number, seq, block_num, par_num, line_num, text, "left" AS l, top, width, height, coalesce(try_cast(conf AS DOUBLE), -1) AS c FROM (VALUES {", ".join(str(w) for w in OCR_WORDS)}) v(doc_id, page_number, seq, block_num, par_num, line_num, text, "left", top, width, height, conf)),
-ocr AS (SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_num, par_num, line_num)::INT AS line_no, string_agg(trim(text), ' ' ORDER BY l, seq) AS text, min(l) AS x0, min(top) AS y0, max(l + width) AS x1, max(top + height) AS y1, avg(c) AS confidence FROM words WHERE trim(text) <> '' AND c >= 0 GROUP BY doc_id, page_number, block_num, par_num, line_num)"""
+#: The documents' lines as an engine would read them, six to a page: words out of order, odd confidences, tall lines.
+WORDS_SQL = f"""{LINES_SQL},
+cut AS (SELECT doc_id, line_no AS i, string_split(line, ' ') AS w FROM lines), said AS (SELECT doc_id, i, unnest(range(len(w))) AS j, unnest(w) AS text FROM cut),
+words AS (SELECT doc_id, (i // 6 + 1)::INT AS page_number, j::INT AS seq, (i % 6 // 3 + 1)::INT AS block_num, (i % 3 // 2 + 1)::INT AS par_num, (i % 3 + 1)::INT AS line_num, text,
+  (j * 37 % 1000)::INT AS l, (i % 6 * 40 + j % 3)::INT AS top, (5 * length(text))::INT AS width, (CASE WHEN i % 11 = 4 THEN 30 ELSE 10 END + j % 4)::INT AS height,
+  CASE (i + j) % 17 WHEN 0 THEN '-1' WHEN 1 THEN 'n/a' WHEN 2 THEN '0' ELSE (50 + (i * 7 + j * 3) % 50) || '.5' END AS conf FROM said),
+sure AS (SELECT *, coalesce(try_cast(conf AS DOUBLE), -1) AS c FROM words),
+ocr AS (SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_num, par_num, line_num)::INT AS line_no, string_agg(trim(text), ' ' ORDER BY l, seq) AS text, min(l) AS x0, min(top) AS y0, max(l + width) AS x1, max(top + height) AS y1, avg(c) AS confidence FROM sure WHERE trim(text) <> '' AND c >= 0 GROUP BY doc_id, page_number, block_num, par_num, line_num)"""
+OCR_BLOCKS_SQL = f"""{WORDS_SQL},
+heights AS (SELECT doc_id, page_number, median(greatest(y1 - y0, 1)::DOUBLE) AS median_height FROM ocr GROUP BY ALL),
+typed AS (SELECT *, {sql_type(f"y1 - y0 >= median_height * {structure.TALL}")} AS line_type FROM (SELECT * REPLACE ({sql_strip("text")} AS text) FROM ocr) JOIN heights USING (doc_id, page_number)),
+leveled AS (SELECT *, {LEVEL_SQL} AS level, row_number() OVER w AS n, lag(line_type) OVER w AS before, lag(page_number) OVER w AS page FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, y0, x0, line_no)),
+grouped AS (SELECT *, sum(CASE WHEN line_type = 'paragraph' AND before = 'paragraph' AND page = page_number THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM leveled),
+merged AS (SELECT doc_id, grp, 1 AS side, any_value(line_type) AS block_type, any_value(level) AS level, string_agg(CASE WHEN line_type = 'bullet' THEN regexp_replace(text, '{rx.BULLET}', '') ELSE text END, ' ' ORDER BY n) AS text, min(page_number) AS page_number FROM grouped GROUP BY doc_id, grp
+  UNION ALL SELECT doc_id, grp, 0, 'page_break', NULL, 'Page ' || page, page FROM grouped WHERE page <> page_number),
+ocr_blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, side)::INT AS block_no, block_type, level, text, page_number FROM merged WHERE block_type <> 'bullet' OR text <> '')"""
+
+
+def ocr_words(spark, sf_dir):
+    i, j = F.col("line_no"), F.col("seq")
+    words = tx.line_stream(docs_of(spark, sf_dir), "doc_id").select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("seq", "text"))
+    conf = F.when((i + j) % 17 == 0, "-1").when((i + j) % 17 == 1, "n/a").when((i + j) % 17 == 2, "0").otherwise(F.concat((50 + (i * 7 + j * 3) % 50).cast("string"), F.lit(".5")))
+    numbers = {
+        "page_number": F.floor(i / 6) + 1, "seq": j, "block_num": F.floor(i % 6 / 3) + 1, "par_num": F.floor(i % 3 / 2) + 1, "line_num": i % 3 + 1,
+        "left": j * 37 % 1000, "top": i % 6 * 40 + j % 3, "width": 5 * F.char_length("text"), "height": F.when(i % 11 == 4, 30).otherwise(10) + j % 4,
+    }
+    return words.select("doc_id", "text", conf.alias("conf"), *(c.cast("int").alias(k) for k, c in numbers.items()))
 
 
-def ocr_lines(spark):
-    return ocr.lines_of_words(spark.createDataFrame(list(OCR_WORDS), ocr.WORDS))
+def ocr_lines(spark, sf_dir):
+    return ocr.lines_of_words(ocr_words(spark, sf_dir))
+
+
+def scanned_blocks(spark, sf_dir):
+    return structure.assemble(structure.classify(ocr_lines(spark, sf_dir)))
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, page_number, line_no, text, concat_ws(',', x0, y0, x1, y1) AS bbox, round(confidence, 6) AS confidence FROM ocr")
 def ocr_line_group(spark, sf_dir):
-    return ocr_lines(spark).withColumns({"bbox": F.concat_ws(",", F.col("bbox").cast("array<string>")), "confidence": F.round("confidence", 6)})
+    return ocr_lines(spark, sf_dir).withColumns({"bbox": F.concat_ws(",", F.col("bbox").cast("array<string>")), "confidence": F.round("confidence", 6)})
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, page_number, median(greatest(y1 - y0, 1)::DOUBLE) AS median_height FROM ocr GROUP BY ALL")
 def page_median_height(spark, sf_dir):
-    return structure.page_median_heights(ocr_lines(spark))
+    return structure.page_median_heights(ocr_lines(spark, sf_dir))
 
 
-@query(f"WITH {WORDS_SQL}, pages AS (SELECT * FROM (VALUES (1::BIGINT, 1), (1, 2), (1, 3), (2, 1), (2, 2)) v(doc_id, page_number)) SELECT doc_id, page_number, 'Page ' || page_number || ': no OCR lines found; check scan quality or OCR backend availability.' AS note FROM pages ANTI JOIN ocr USING (doc_id, page_number)")
+@query(f"WITH {WORDS_SQL}, pages AS (SELECT DISTINCT doc_id, unnest(range(1, i // 6 + 3))::INT AS page_number FROM said) SELECT doc_id, page_number, 'Page ' || page_number || ': no OCR lines found; check scan quality or OCR backend availability.' AS note FROM pages ANTI JOIN ocr USING (doc_id, page_number)")
 def pages_without_lines(spark, sf_dir):
-    pages = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)], "doc_id long, page_number int")
-    return src.pages_without_lines(pages, ocr_lines(spark))
+    """Every document is one page longer than its text; pages of blanks and of doubtful words alone have no lines, either."""
+    last = tx.line_stream(docs_of(spark, sf_dir), "doc_id").groupBy("doc_id").agg((F.floor(F.max("line_no") / 6) + 2).cast("int").alias("pages"))
+    pages = last.select("doc_id", F.explode(F.sequence(F.lit(1), "pages")).alias("page_number"))
+    return src.pages_without_lines(pages, ocr_lines(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES (1, 'heading', 'Hello World'), (2, 'heading', 'Zero'), (3, 'heading', 'Tall heading'), (4, 'page_break', 'Page 1'), (5, 'paragraph', 'second left left')) v(block_no, block_type, text)""")
+@query(f"WITH {OCR_BLOCKS_SQL} SELECT * FROM ocr_blocks")
 def ocr_blocks(spark, sf_dir):
-    lines = ocr_lines(spark).filter("doc_id = 1").withColumn("text", F.when(F.col("text") == "zero", "Zero").otherwise(F.col("text")))
-    return structure.assemble(structure.classify(lines)).select("block_no", "block_type", "text")
+    return scanned_blocks(spark, sf_dir).select("doc_id", "block_no", "block_type", "level", "text", "page_number")
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, page_number, line_no, concat_ws(',', trunc(x0 - 0.5)::INT, y0, trunc(x1 + 1.75)::INT, y1 + 3) AS bbox FROM ocr")
+def engine_line_boxes(spark, sf_dir):
+    """Engines that give four corners of a skewed line: its box is of their least and greatest."""
+    x = lambda i, by: F.get("bbox", F.lit(i)).cast("double") + by
+    corners = F.array(F.array(x(0, 0.0), x(1, 0.0)), F.array(x(2, 1.75), x(1, 2.5)), F.array(x(2, 1.0), x(3, 3.0)), F.array(x(0, -0.5), x(3, 1.0)))
+    boxes = ocr_lines(spark, sf_dir).select("doc_id", "page_number", "line_no", ocr.polygon_bbox(corners).alias("b"))
+    return boxes.select("doc_id", "page_number", "line_no", F.concat_ws(",", F.col("b").cast("array<string>")).alias("bbox"))
 
 
 #: Each document asks for languages, and its machine has some, by its id.
@@ -259,7 +300,7 @@ def ocr_languages(spark, sf_dir):
 
 # --- Chunks ---------------------------------------------------------------
 
-MB_SQL = f"""mb AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS block_no, CASE WHEN line LIKE '#%' THEN 'heading' WHEN line LIKE '- %' THEN 'bullet' ELSE 'paragraph' END AS block_type, CASE WHEN line LIKE '#%' THEN length(regexp_extract(line, '^(#+)', 1)) END::INT AS level, CASE WHEN line LIKE '#%' THEN {sql_strip("regexp_replace(line, '^#+', '')")} WHEN line LIKE '- %' THEN substr(line, 3) ELSE line END AS text FROM md)"""
+MB_SQL = f"""mb AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS block_no, CASE WHEN line LIKE '#%' THEN 'heading' WHEN line LIKE '- %' THEN 'bullet' ELSE 'paragraph' END AS block_type, CASE WHEN line LIKE '#%' THEN length(regexp_extract(line, '^(#+)', 1)) END::INT AS level, CASE WHEN line LIKE '#%' THEN {sql_strip("regexp_replace(line, '^#+', '')")} WHEN line LIKE '- %' THEN substr(line, 3) ELSE line END AS text, 1 AS page_number FROM md)"""
 #: Documents as Markdown: every tenth line from the third is a heading of a level from 1 to 4.
 AS_MARKDOWN_SQL = f"""{LINES_SQL},
 md AS (SELECT doc_id, line_no, CASE WHEN line_no % 10 = 2 THEN repeat('#', (line_no // 10 % 4 + 1)::INT) || ' ' || line WHEN line_no % 10 = 5 THEN '- ' || line ELSE line END AS line FROM lines),
@@ -274,15 +315,15 @@ def as_markdown(spark, sf_dir):
     return lines.select("doc_id", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias("text"))
 
 
-@query(f"WITH {AS_MARKDOWN_SQL} SELECT * FROM mb")
+@query(f"WITH {AS_MARKDOWN_SQL} SELECT * EXCLUDE (page_number) FROM mb")
 def markdown_blocks(spark, sf_dir):
     return chunking.markdown_blocks(as_markdown(spark, sf_dir)).drop("page_number")
 
 
-BLOCK_PATHS_SQL = """heads AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS section, level, text FROM mb WHERE block_type = 'heading'),
+BLOCK_PATHS_SQL = """heads AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS section, level, CASE WHEN block_type = 'heading' THEN text ELSE '' END AS text FROM mb WHERE block_type IN ('heading', 'page_break')),
 paths AS (SELECT doc_id, 0::BIGINT AS section, []::VARCHAR[] AS path FROM (SELECT DISTINCT doc_id FROM mb) UNION ALL SELECT h.doc_id, h.section, CASE WHEN h.text = '' THEN p.path ELSE list_append(p.path[1:greatest(h.level - 1, 0)], h.text) END FROM paths p JOIN heads h ON h.doc_id = p.doc_id AND h.section = p.section + 1)"""
 PATHS_SQL = f"RECURSIVE {AS_MARKDOWN_SQL}, {BLOCK_PATHS_SQL}"
-SECTION_SQL = "sections AS (SELECT *, sum((block_type = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY block_no) AS section FROM mb)"
+SECTION_SQL = "sections AS (SELECT *, sum((block_type IN ('heading', 'page_break'))::INT) OVER (PARTITION BY doc_id ORDER BY block_no) AS section FROM mb)"
 
 
 @query(f"WITH {PATHS_SQL}, {SECTION_SQL} SELECT DISTINCT s.doc_id, s.section::BIGINT AS section, array_to_string(p.path, ' > ') AS section_path FROM sections s JOIN paths p ON p.doc_id = s.doc_id AND p.section = s.section")
@@ -302,14 +343,18 @@ def token_windows(spark, sf_dir):
 CHUNK_CONFIG = chunking.ChunkConfig(max_tokens=80, overlap_tokens=20)
 
 def sql_chunks(most: int, step: int) -> str:
-    return f"""body AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY block_no) AS i, text, {sql_count("text", rx.TOKEN)} AS n FROM sections WHERE block_type <> 'heading' AND text <> ''),
-packed AS (SELECT doc_id, section, i, text, n AS total, 0 AS bin, n AS held FROM body WHERE i = 1 UNION ALL SELECT b.doc_id, b.section, b.i, b.text, p.total + b.n, CASE WHEN p.held >= {most} THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.held >= {most} THEN b.n ELSE p.held + b.n END FROM packed p JOIN body b ON b.doc_id = p.doc_id AND b.section = p.section AND b.i = p.i + 1),
-bins AS (SELECT doc_id, section, bin, max(held) >= {most} AS full_bin, string_agg(text, ' ' ORDER BY i) AS text FROM packed GROUP BY ALL),
+    return f"""body AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY block_no) AS i, block_no, text, {sql_count("text", rx.TOKEN)} AS n FROM sections WHERE block_type NOT IN ('heading', 'page_break') AND text <> ''),
+packed AS (SELECT doc_id, section, i, block_no, text, n AS total, 0 AS bin, n AS held FROM body WHERE i = 1 UNION ALL SELECT b.doc_id, b.section, b.i, b.block_no, b.text, p.total + b.n, CASE WHEN p.held >= {most} THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.held >= {most} THEN b.n ELSE p.held + b.n END FROM packed p JOIN body b ON b.doc_id = p.doc_id AND b.section = p.section AND b.i = p.i + 1),
+bins AS (SELECT doc_id, section, bin, max(held) >= {most} AS full_bin, max(block_no) AS last, string_agg(text, ' ' ORDER BY i) AS text FROM packed GROUP BY ALL),
 toks AS (SELECT *, regexp_extract_all(text, '{rx.TOKEN}') AS t FROM bins),
-parts AS (SELECT doc_id, section, bin, full_bin, CASE WHEN len(t) <= {most} THEN [text] ELSE list_transform(range(0, ceil((len(t) - {most}) / {step})::INT + 1), lambda i: array_to_string(t[i * {step} + 1 : i * {step} + {most}], ' ')) END AS parts FROM toks),
+parts AS (SELECT doc_id, section, bin, full_bin, last, CASE WHEN len(t) <= {most} THEN [text] ELSE list_transform(range(0, ceil((len(t) - {most}) / {step})::INT + 1), lambda i: array_to_string(t[i * {step} + 1 : i * {step} + {most}], ' ')) END AS parts FROM toks),
 counted AS (SELECT *, coalesce(sum(CASE WHEN full_bin THEN len(parts) ELSE 0 END) OVER w, 0) + 1 AS counter, coalesce(sum(len(parts)) OVER w, 0) AS done FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY section, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+opened AS (SELECT doc_id, section, min(block_no) AS b FROM sections GROUP BY ALL), ended AS (SELECT doc_id, max(block_no) AS b FROM mb GROUP BY doc_id),
+turned AS (SELECT doc_id, page_number, min(block_no) AS b FROM mb GROUP BY ALL),
+upto AS (SELECT k.doc_id, k.section, k.bin, string_agg(page_number::VARCHAR, ',' ORDER BY t.b) AS page_numbers FROM counted k LEFT JOIN opened o ON o.doc_id = k.doc_id AND o.section = k.section + 1 JOIN ended d ON d.doc_id = k.doc_id
+  JOIN turned t ON t.doc_id = k.doc_id AND t.b <= CASE WHEN full_bin THEN last ELSE coalesce(o.b, d.b) END GROUP BY ALL),
 exploded AS (SELECT *, unnest(range(len(parts))) AS part_no, unnest(parts) AS part FROM counted),
-chunks AS (SELECT e.doc_id, (done + part_no + 1)::BIGINT AS chunk_no, 'document-chunk-' || (counter + part_no)::BIGINT AS chunk_id, part AS text, array_to_string(p.path, ' > ') AS section_path FROM exploded e JOIN paths p ON p.doc_id = e.doc_id AND p.section = e.section)"""
+chunks AS (SELECT e.doc_id, (done + part_no + 1)::BIGINT AS chunk_no, 'document-chunk-' || (counter + part_no)::BIGINT AS chunk_id, part AS text, array_to_string(p.path, ' > ') AS section_path, page_numbers FROM exploded e JOIN paths p ON p.doc_id = e.doc_id AND p.section = e.section JOIN upto u ON u.doc_id = e.doc_id AND u.section = e.section AND u.bin = e.bin)"""
 
 
 CHUNKS_SQL = f"{PATHS_SQL}, {SECTION_SQL}, {sql_chunks(80, 60)}"
@@ -319,9 +364,19 @@ def chunks_of(spark, sf_dir):
     return chunking.structural_chunks(chunking.markdown_blocks(as_markdown(spark, sf_dir)), CHUNK_CONFIG)
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT *, '1' AS page_numbers FROM chunks")
+def flat_chunks(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", "chunk_no", "chunk_id", "text", F.array_join("section_path", " > ").alias("section_path"), F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("page_numbers"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT * FROM chunks")
 def structural_chunks(spark, sf_dir):
-    return chunks_of(spark, sf_dir).select("doc_id", "chunk_no", "chunk_id", "text", F.array_join("section_path", " > ").alias("section_path"), F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("page_numbers"))
+    return flat_chunks(chunks_of(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {OCR_BLOCKS_SQL}, mb AS (SELECT * FROM ocr_blocks), {BLOCK_PATHS_SQL}, {SECTION_SQL}, {sql_chunks(80, 60)} SELECT * FROM chunks")
+def page_chunks(spark, sf_dir):
+    """Chunks of scanned documents of several pages, with the pages that each has come to."""
+    return flat_chunks(chunking.structural_chunks(scanned_blocks(spark, sf_dir), CHUNK_CONFIG))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_ids FROM chunks GROUP BY doc_id")
