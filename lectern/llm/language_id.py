@@ -22,7 +22,7 @@ import itertools
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ class Model:
     languages: tuple[str, ...]
     step: np.ndarray  # pieces x languages
     key: str
+    #: Whether the last column of ``step`` is of no language, but of the vocabulary as such.
+    guarded: bool = False
 
 
 def train(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train_docs: int = 20_000, rounds: int = 2) -> Model:
@@ -67,6 +69,17 @@ def train(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang",
     return Model(path, languages, step, uuid.uuid4().hex)
 
 
+def guarded(model: Model) -> Model:
+    """The model with a background beside its languages: the whole vocabulary, weighed by its own order.
+
+    A text that no learned language makes likelier than the background does is in none of
+    them, however much likelier one of them is than the others.
+    """
+    lattice = lat.loaded(model.path)
+    step = np.concatenate([model.step.reshape(lattice.size, -1), lattice.step(lattice.prior)[:, None]], axis=1)
+    return replace(model, step=step, key=f"{model.key}-guarded", guarded=True)
+
+
 def sampled(docs: DataFrame, text: str, lang: str, doc_id: str, most: int) -> DataFrame:
     """_text, _lang of labelled rows, by a hash of the id down to about ``most``, as many of each language if it has them."""
     labelled = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(doc_id)).alias("_h")).filter("_text IS NOT NULL AND _lang IS NOT NULL")
@@ -98,92 +111,52 @@ def _uses(labelled: DataFrame, path: str, step: np.ndarray, languages: tuple[str
     return labelled.mapInArrow(run, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n")).collect()
 
 
-def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", least: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """``keep`` columns, lang_pred and score for every row; with ``least_fits``, texts that fit worse are undetermined."""
-    return determined(docs, model, keep, text, least).toDF(*keep, "lang_pred", "score")
+def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep`` columns, lang_pred and score for every row."""
+    return determined(docs, model, keep, text).toDF(*keep, "lang_pred", "score")
 
 
-def identified(docs: DataFrame, model: Model, *, text: str = "text", least: dict[str, tuple[float, float]] | None = None, least_score: float = 0.0) -> DataFrame:
+def identified(docs: DataFrame, model: Model, *, text: str = "text", least_score: float = 0.0) -> DataFrame:
     """The rows of ``docs``, as they are, whose language is determined with a score of at least ``least_score``."""
-    found = determined(docs, model, tuple(docs.columns), text, least)
+    found = determined(docs, model, tuple(docs.columns), text)
     return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).drop("lang_pred", "score").toDF(*docs.columns)
 
 
-def determined(docs: DataFrame, model: Model, keep: tuple[str, ...], text: str, least: dict[str, tuple[float, float]] | None) -> DataFrame:
+def determined(docs: DataFrame, model: Model, keep: tuple[str, ...], text: str) -> DataFrame:
     """``keep`` columns as c0, c1 and so on (any name may come along), lang_pred and score."""
     own = docs.select(*(F.col(k).alias(f"c{i}") for i, k in enumerate(keep)), F.col(text).alias("_text"))
     schema = own.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "_text"):
-            predicted, score = predict(model, raw_texts(chunk.column("_text")), least)
+            predicted, score = predict(model, raw_texts(chunk.column("_text")))
             yield pa.RecordBatch.from_arrays([*(chunk.column(f"c{i}") for i in range(len(keep))), pa.array(predicted, pa.string()), pa.array(score)], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
 
-def predict(model: Model, texts: list[bytes], least: dict[str, tuple[float, float]] | None = None) -> tuple[list[str], np.ndarray]:
+def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     if not model.languages:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
     sums = log_likelihoods(model, texts)
-    fit = sums.max(axis=1)
-    sums -= sums.max(axis=1, keepdims=True)
+    known = np.array([LETTER.search(raw.decode("utf-8", "replace")) is not None for raw in texts], bool)
+    if model.guarded:
+        sums, background = sums[:, :-1], sums[:, -1]
+        known &= sums.max(axis=1) >= background
+    sums = sums - sums.max(axis=1, keepdims=True)
     share = np.exp(sums)
     share /= share.sum(axis=1, keepdims=True)
     best = share.argmax(axis=1)
-    known = [LETTER.search(raw.decode("utf-8", "replace")) is not None for raw in texts]
-    if least is not None:
-        size = characters(texts)
-        middle, spread = (np.array([least.get(x, (-np.inf, 1.0))[k] for x in model.languages])[best] for k in (0, 1))
-        # The spread of a mean over fewer characters is wider.
-        wider = np.sqrt(FIT_CHARS / np.clip(size, 1, FIT_CHARS))
-        known = (known & (fit / np.maximum(size, 1) >= middle - (1 + FIT_SPREAD) * spread * wider)).tolist()
-    return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, share[np.arange(len(best)), best], 0.0)
+    return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known.tolist(), strict=True)], np.where(known, share[np.arange(len(best)), best], 0.0)
 
 
 def log_likelihoods(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Log probability of each text in each language."""
+    """Log probability of each text in each language, and in the background if there is one."""
     scores = held(("words", model.key), lambda: lat.WordScores(lat.loaded(model.path), model.step))
     split = [raw.lower().split() for raw in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     values = scores.of(list(itertools.chain.from_iterable(split)))
-    sums = np.zeros((len(texts), len(model.languages)))
+    sums = np.zeros((len(texts), model.step.shape[1]))
     if full := np.flatnonzero(sizes).tolist():
         sums[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full], axis=0)
     return sums
-
-
-#: Quantile of the training documents' fits, and the characters that a text counts as at most: shorter ones vary more.
-FIT_QUANTILE, FIT_CHARS = 0.25, 200
-#: Quartile distances below the lower quartile (a normal fit's standard deviation is 1.48 of them).
-FIT_SPREAD, FIT_BINS = 5.0, 100
-
-
-def characters(texts: list[bytes]) -> np.ndarray:
-    """The characters of each text that are not white space."""
-    return np.array([len(raw.translate(None, b" \t\n\r\x0b\x0c").decode("utf-8", "replace")) for raw in texts], np.float64)
-
-
-def least_fits(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train_docs: int = 20_000) -> dict[str, tuple[float, float]]:
-    """Median, and distance of the lower quartile, of the fits of each language's training documents of ``FIT_CHARS`` or more."""
-    labelled = sampled(docs.filter(F.col(lang).isin(list(model.languages))), text, lang, doc_id, max_train_docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for chunk in text_chunks(batches, "_text"):
-            texts = raw_texts(chunk.column("_text"))
-            size = characters(texts)
-            fit = log_likelihoods(model, texts) / np.maximum(size, 1)[:, None]
-            for i, language in enumerate(chunk.column("_lang").to_pylist()):
-                if size[i] >= FIT_CHARS:
-                    total[language, int(np.floor(fit[i, model.languages.index(language)] * FIT_BINS))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["lang", "bin", "n"])
-
-    rows = labelled.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    out = {}
-    for language in model.languages:
-        bins, n = np.array(sorted((r.bin, r.n) for r in rows if r.lang == language), np.int64).reshape(-1, 2).T
-        if len(bins):
-            low, middle = (bins[np.searchsorted(np.cumsum(n), q * n.sum())] / FIT_BINS for q in (FIT_QUANTILE, 0.5))
-            out[language] = float(middle), float(max(middle - low, 2 / FIT_BINS))
-    return out
