@@ -9,7 +9,6 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import text as tx
 from lectern.operators import generation, routing
 from lectern.sources import files as src
 from lectern.sources import ocr
@@ -55,10 +54,7 @@ def load(spark: SparkSession, data_dir: str, backend: str) -> DataFrame:
         from lectern.plans.documents import process_files
 
         pdf = everything.join(pdfs.select("path"), "path").select(F.lit(0).cast("long").alias("doc_id"), "source_name", "content")
-        sources = ocr.text_layers(pdf).withColumn("transcript", F.lit(None).cast("string"))
-        unread = sources.filter(tx.garbled(F.col("text_layer"))).select("text_layer").first()
-        if unread:
-            ocr.need_ocr(unread.text_layer, backend, ocr.find_tesseract())
+        sources = ocr.with_ocr(ocr.text_layers(pdf), backend).withColumn("transcript", F.lit(None).cast("string"))
         markdown = process_files(pdf, ocr.OcrConfig(backend=backend))
         return src.choose_text(sources.join(markdown.withColumnRenamed("markdown", "ocr_markdown"), "doc_id", "left"))
     none = F.lit(None).cast("string")

@@ -72,12 +72,6 @@ def model_embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.nd
     return texts.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(text)))
 
 
-def build_index(chunks: DataFrame, path: str) -> DataFrame:
-    """Persist chunks with their vectors; an empty input leaves an empty index."""
-    chunks.write.mode("overwrite").parquet(path)
-    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
-
-
 def top_k(hits: DataFrame, k: int, query: str, *order: Column | str) -> DataFrame:
     """The best k hits of each query by ``order``, ranked from 1."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(*order))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,14 @@ def process_files(files: DataFrame, config: ocr.OcrConfig = ocr.OcrConfig()) ->
     return scan_markdown(src.clean_lines(ocr.recognised_lines(files, config)))
 
 
+def process_pages(pages: DataFrame, config: ocr.OcrConfig = ocr.OcrConfig(), read: Callable | None = None, decode: Callable | None = None) -> DataFrame:
+    """As ``scan_results`` for pages as ``sources.pages`` reads them; a file's id is a hash of its path."""
+    own = pages.withColumn("doc_id", F.xxhash64("path"))
+    lines = src.clean_lines(ocr.lines_of_words(ocr.page_words(own, config, read, decode)))
+    listed = own.groupBy("doc_id", "source_name").agg(F.max("page_count").alias("n")).select("doc_id", "source_name", F.explode(F.sequence(F.lit(1), "n")).alias("page_number"))
+    return scan_results(listed, lines, config.backend)
+
+
 def keyword_answers(docs: DataFrame, queries: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConfig(), k: int = 5) -> DataFrame:
     """query_id, rank, doc_id, chunk_no, score of keyword search over structural chunks."""
     chunks = chunking.structural_chunks(chunking.markdown_blocks(docs), config)

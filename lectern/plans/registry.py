@@ -20,7 +20,7 @@ from lectern.functions import text as tx
 from lectern.operators import cells, chunking, index, routing, search, structure, vectors
 from lectern.plans import documents as plans
 from lectern.sources import files as src
-from lectern.sources import ocr
+from lectern.sources import ocr, pages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -272,6 +272,13 @@ def engine_line_boxes(spark, sf_dir):
     return boxes.select("doc_id", "page_number", "line_no", F.concat_ws(",", F.col("b").cast("array<string>")).alias("bbox"))
 
 
+@query("SELECT md5(html) AS digest, count(*) AS n FROM pages GROUP BY 1")
+def page_files(spark, sf_dir):
+    """The table of pages as files of many pages each, read by shares."""
+    found = pages.read_pages(spark, f"{sf_dir}/pages.parquet", pages.ParquetRows(column="html"), name="parquet-pages", part_bytes=1 << 20, suffixes=[".parquet"])
+    return found.groupBy(F.md5("content").alias("digest")).agg(F.count("*").alias("n"))
+
+
 #: Each document asks for languages, and its machine has some, by its id.
 HINTS = ("eng", "GU", "sa", "xx", "guj", "en", "San")
 HAVE = ("eng", "guj", "san")
@@ -340,6 +347,20 @@ def token_windows(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.posexplode(chunking.token_windows(F.col("text"), WINDOW_CONFIG)).alias("part_no", "part"))
 
 
+_stretch = f"(?:(?:{rx.TOKEN}){rx.SPACE}*)"
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, length(regexp_extract(text, '^{rx.SPACE}*')) AS lead, regexp_extract_all(text, '{_stretch}{{1,45}}') AS s, regexp_extract_all(text, '{rx.TOKEN}') AS t FROM documents),
+w AS (SELECT doc_id, text, s, lead, unnest(range(0, greatest(ceil((len(t) - 60) / 45)::INT, 0) + 1)) AS i FROM s WHERE len(t) > 0),
+b AS (SELECT doc_id, text, i, (lead + length(array_to_string(s[1:i], '')))::INT AS start, regexp_extract(array_to_string(s[i + 1 : i + 2], ''), '^{_stretch}{{0,59}}(?:{rx.TOKEN})') AS part FROM w)
+SELECT doc_id, i::INT AS part_no, start, start + length(part)::INT AS stop, part, substr(text, start + 1, length(part)) = part AS verbatim FROM b""")
+def verbatim_windows(spark, sf_dir):
+    """The token windows as they stand in their documents, with where."""
+    w = F.posexplode(chunking.verbatim_windows(F.col("text"), WINDOW_CONFIG)).alias("part_no", "w")
+    found = docs_of(spark, sf_dir).select("doc_id", "text", w).select("doc_id", "text", "part_no", "w.*")
+    return found.select("doc_id", "part_no", "start", "stop", "part", (F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("part")).alias("verbatim"))
+
+
 CHUNK_CONFIG = chunking.ChunkConfig(max_tokens=80, overlap_tokens=20)
 
 def sql_chunks(most: int, step: int) -> str:

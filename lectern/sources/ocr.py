@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import lexicon as lex
+from lectern.functions import text as tx
 
 BINARISE_ABOVE = 170
 WORDS = "doc_id long, page_number int, seq int, block_num int, par_num int, line_num int, text string, left int, top int, width int, height int, conf string"
@@ -95,10 +96,11 @@ def find_tesseract(candidates: tuple[str, ...] = TESSERACT_PLACES) -> str | None
     return shutil.which("tesseract") or next((c for c in candidates if Path(c).exists()), None)
 
 
-def tessdata_dir() -> Path | None:
-    """The language files that the environment names."""
+def tessdata_dir(project: Path = Path(__file__).resolve().parents[2]) -> Path | None:
+    """The language files that the environment names, else those in the project's own folder."""
     named = os.environ.get("TESSDATA_PREFIX")
-    return Path(named) if named and Path(named).exists() else None
+    places = [Path(named)] if named else []
+    return next((x for x in [*places, project / ".tessdata"] if x.exists()), None)
 
 
 def available_languages(engine) -> set[str]:
@@ -124,6 +126,20 @@ def need_ocr(text_layer: str, backend: str, tesseract: str | None) -> None:
         raise RuntimeError(GARBLED_LAYER if text_layer.strip() else NO_LAYER)
 
 
+def with_ocr(layers: DataFrame, backend: str, find: Callable[[], str | None] = find_tesseract) -> DataFrame:
+    """``layers`` (doc_id, text_layer), as they are; the worker that has a text to be read asks its own machine for the executable."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, unread in zip(batch.column("text_layer").to_pylist(), batch.column("_unread").to_pylist(), strict=True):
+                if unread:
+                    need_ocr(text or "", backend, find())
+            yield batch.drop_columns(["_unread"])
+
+    own = layers.select("doc_id", "text_layer").withColumn("_unread", tx.garbled(F.coalesce("text_layer", F.lit(""))))
+    return own.mapInArrow(run, own.drop("_unread").schema)
+
+
 def optional(name: str):
     try:
         return importlib.import_module(name)
@@ -214,6 +230,25 @@ def paddle_lines(image) -> list[tuple]:
     return [] if reader is None else [(p, t[0], t[1]) for page in reader.ocr(np.array(image), cls=True) or [] for p, t in page or [] if t[0].strip()]
 
 
+def opened(content: bytes):
+    """A page image of its bytes."""
+    return importlib.import_module("PIL.Image").open(io.BytesIO(content)).convert("RGB")
+
+
+def page_words(pages: DataFrame, config: OcrConfig = OcrConfig(), read: Callable | None = None, decode: Callable | None = None) -> DataFrame:
+    """``WORDS`` of page images (doc_id, page_number, content), a page at a time."""
+    read, decode = read or tesseract_words, decode or opened
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, page, content in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "page_number", "content")), strict=True):
+                rows = [(doc, page, seq, *where, text, *box, str(conf)) for seq, (*where, text, b0, b1, b2, b3, conf) in enumerate(read(decode(content), config.language_hints)) for box in [(b0, b1, b2, b3)]]
+                kinds = [pa.int64(), *[pa.int32()] * 5, pa.string(), *[pa.int32()] * 4, pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[x.split(" ")[0] for x in WORDS.split(", ")])
+
+    return pages.select("doc_id", "page_number", "content").mapInArrow(run, WORDS)
+
+
 def recognised_words(files: DataFrame, config: OcrConfig = OcrConfig(), read: Callable | None = None) -> DataFrame:
     """``WORDS`` of files (doc_id, source_name, content).  ``read(image, languages)`` gives the engine's words."""
     read = read or tesseract_words

@@ -51,6 +51,20 @@ def test_token_windows_at_the_budget(spark):
     assert [r[0] for r in rows] == [["a b  c d e"], ["a b c d e", "d e f"], [""]]
 
 
+def test_verbatim_windows_are_slices_with_the_same_tokens(spark):
+    import random
+
+    r = random.Random(1)
+    texts = ["", "  ", "one", " શ્લોક ૧:\tસંજય\u00a0ઉવાચ ॥૧॥ ", *("".join(r.choice(["ab", "c", "શ્લોક", ".", ",", "!", " ", "  ", "\n", "\u2003", "é"]) for _ in range(r.randrange(80))) for _ in range(60))]
+    for config in (chunking.ChunkConfig(5, 2), chunking.ChunkConfig(7, 0), chunking.ChunkConfig(4, 3), chunking.ChunkConfig(3, 9)):
+        c = F.col("text")
+        for row in docs(spark, *texts).select("text", chunking.verbatim_windows(c, config).alias("v"), F.filter(chunking.token_windows(c, config), lambda p: tx.token_count(p) > 0).alias("w")).collect():
+            assert all(row.text[x.start : x.stop] == x.part == x.part.strip() for x in row.v)
+            import regex
+
+            assert [regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", x.part) for x in row.v] == [regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", x) for x in row.w]
+
+
 def test_pages_of_chunks_accumulate(spark):
     rows = [(0, i, t, x, None, p) for i, (t, x, p) in enumerate([("heading", "H", 1), ("paragraph", "a b c", 1), ("page_break", "Page 1", 1), ("paragraph", "d e", 2), ("heading", "", 3), ("paragraph", "f", 3)])]
     blocks = spark.createDataFrame(rows, "doc_id long, block_no int, block_type string, text string, level int, page_number int")
