@@ -612,9 +612,9 @@ def test_pages(spark):
 
 def test_templates_mark_constant_nodes():
     pages = [page(i, f"<p>own {i}</p>") for i in range(6)]
-    template = html_extraction.learn(pages)
+    wrapper = html_extraction.learn(pages)
     tree = html_extraction.parse(pages[0])
-    html_extraction.mark(template, tree)
+    html_extraction.mark(wrapper, tree)
     queue, constant = [tree], []
     while queue:
         node = queue.pop()
