@@ -36,6 +36,7 @@ def gemini(model: str, key: str) -> generation.Client | None:
     def ask(prompt: str) -> str:
         library = ocr.optional("google.generativeai")
         if library is None:
+            # Fixed value: what is said without the library.
             raise RuntimeError("Gemini dependency missing. Install with: pip install google-generativeai")
         library.configure(api_key=key)
         return getattr(library.GenerativeModel(model).generate_content(prompt), "text", "") or ""

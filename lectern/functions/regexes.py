@@ -12,6 +12,13 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]"
 NOT_SPACE = r"[^\s\p{Z}\x{85}\x{1C}-\x{1F}]"
 TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x{{85}}\x{{1C}}-\x{{1F}}]"
+#: A word with the marks and joiners that its letters carry.
+MARKED_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}\p{M}_\x{200C}\x{200D}]*"
+#: Viramas that link the consonants of a conjunct (Devanagari, Bengali, Gujarati, Oriya, Telugu, Malayalam), and those consonants.
+LINKER = r"[\x{94D}\x{9CD}\x{ACD}\x{B4D}\x{C4D}\x{D4D}]"
+CONSONANT = r"[\x{915}-\x{939}\x{958}-\x{95F}\x{978}-\x{97F}\x{995}-\x{9B9}\x{9DC}\x{9DD}\x{9DF}\x{9F0}\x{9F1}\x{A95}-\x{AB9}\x{AF9}\x{B15}-\x{B39}\x{B5C}\x{B5D}\x{B5F}\x{B71}\x{C15}-\x{C39}\x{C58}-\x{C5A}\x{D15}-\x{D3A}]"
+#: Spark only: an extended grapheme cluster; one that ends in a linker takes the next consonant's cluster in.
+CLUSTER = rf"\X(?:(?<={CONSONANT}[\p{{M}}\x{{200D}}]{{0,8}})(?<={LINKER}[\p{{M}}\x{{200D}}]{{0,8}})(?={CONSONANT})\X)*"
 DIGIT = r"\p{Nd}"
 LINE = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 #: A lower-case letter that begins a word, or an upper-case one that goes on with it.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,25 @@ from lectern.functions import lexicon as lex
 from lectern.functions import regexes as rx
 
 
+@lru_cache(maxsize=1)
+def unsettled() -> str:
+    """A class of the characters that a compatibility form may change, move, or join with what comes before.
+
+    These are characters with a form other than themselves, those that stand second in
+    a composition, and those that are put in order by a combining class.
+    """
+    second = {p[1] for c in map(chr, range(0x80, sys.maxunicode + 1)) if len(p := unicodedata.decomposition(c).split(" ")) == 2 and not p[0].startswith("<")}
+    joins = {int(x, 16) for x in second} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    found = [i for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and (i in joins or unicodedata.combining(chr(i)) or unicodedata.normalize("NFKC", chr(i)) != chr(i))]
+    ranges: list[list[int]] = []
+    for i in found:
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -23,8 +44,8 @@ _nfkc_once = _nfkc.asNondeterministic()
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility forms; ASCII text has none and isn't sent to Python."""
-    return F.coalesce(_nfkc_once(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    """Compatibility forms; only text with a character that may change is sent to Python."""
+    return F.coalesce(_nfkc_once(F.when(c.rlike(unsettled()), c)), c)
 
 
 def strip(c: Column) -> Column:
@@ -60,10 +81,21 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(rx.TOKEN))
 
 
-def terms(c: Column, longer_than: int = 0) -> Column:
-    """Lower-cased words longer than so many characters, with repeats."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(f"{rx.WORD}+"), F.lit(0))
-    return F.filter(found, lambda t: F.char_length(t) > longer_than) if longer_than else found
+def terms(c: Column, longer_than: int = 0, mark_aware: bool = False) -> Column:
+    """Lower-cased words longer than so many characters, with repeats.
+
+    Combining marks end a word, so words of Indic scripts fall into pieces.  With
+    ``mark_aware`` marks and joiners belong to their word, and characters are grapheme
+    clusters with whole conjuncts.
+    """
+    found = F.regexp_extract_all(F.lower(c), F.lit(rx.MARKED_WORD if mark_aware else f"{rx.WORD}+"), F.lit(0))
+    size = (lambda t: F.size(graphemes(t))) if mark_aware else F.char_length
+    return F.filter(found, lambda t: size(t) > longer_than) if longer_than else found
+
+
+def graphemes(c: Column) -> Column:
+    """Extended grapheme clusters, with the consonants of Indic conjuncts together."""
+    return F.regexp_extract_all(c, F.lit(rx.CLUSTER), F.lit(0))
 
 
 def latin_words(c: Column) -> Column:

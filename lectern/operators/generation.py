@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.operators import once, search
 
+# What is said without a key.
 NO_KEY = "GEMINI_API_KEY missing. Showing file-grounded output only."
 # The evidence-only prompt.
 PROMPT = "તમે બહુ કાળજીપૂર્વક જવાબ આપતા પુસ્તક સહાયક છો.\nફક્ત આપેલ Evidence પરથી જ જવાબ આપો.\nજો જવાબ ન મળે તો સ્પષ્ટ કહો: 'આ માહિતી આપવામાં આવેલી ફાઇલમાં ઉપલબ્ધ નથી.'\nજવાબ ગુજરાતી માં આપો.\n\nપ્રશ્ન: {query}\n\nEvidence:\n{evidence}\n"

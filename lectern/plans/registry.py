@@ -517,7 +517,7 @@ def requested_number(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", qs.requested_number(F.col("query")).alias("number"))
 
 
-_names = lex.any_of(sorted((*lex.CHAPTER_WORDS, *lex.CHAPTER_SCRIPT), key=len, reverse=True))
+_names = lex.any_of(sorted(lex.CHAPTER_WORDS, key=len, reverse=True))
 
 
 CHAPTER_SQL = f"coalesce(try_cast(regexp_extract(p, '(^|{rx.NOT_WORD})({_names}){rx.SPACE}*({rx.DIGIT}{{1,3}})({rx.NOT_WORD}|$)', 3) AS INT), {sql_first_known(lex.ORDINAL_WORDS)})"
@@ -528,10 +528,7 @@ def requested_chapter(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", qs.requested_chapter(F.col("query")).alias("chapter"))
 
 
-_meaning = lex.any_of(f"{rx.SPACE}+".join(words) for words in lex.MEANING_PHRASES)
-
-
-INTENT_SQL = f"regexp_matches(lq, '{rx.whole_word(lex.any_of(lex.CHAPTER_WORDS))}|{lex.any_of(lex.CHAPTER_SCRIPT)}') AND regexp_matches(lq, '{_meaning}')"
+INTENT_SQL = f"regexp_matches(lq, '{qs.CHAPTER_PATTERN}') AND regexp_matches(lq, '{qs.MEANING_PATTERN}')"
 
 
 @query(f"WITH {QUESTIONS_SQL} SELECT query_id, {INTENT_SQL} AS chapter_intent FROM low")
@@ -660,6 +657,14 @@ def index_keyword_topk(spark, sf_dir):
     return stored_index(spark, docs_of(spark, sf_dir)).keyword_search(asked(spark, sf_dir))
 
 
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower('{HEADERS}' || text), '{rx.MARKED_WORD}') AS t FROM documents)
+SELECT doc_id, len(t)::BIGINT AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM t""")
+def mark_aware_terms(spark, sf_dir):
+    docs, _ = asked_of_each(spark, sf_dir)
+    found = tx.terms(F.col("text"), mark_aware=True)
+    return docs.select("doc_id", F.size(found).cast("long").alias("n_terms"), F.md5(F.array_join(found, " ")).alias("digest"))
+
+
 #: Each document as a transcript, a text layer or a scan, by its id; accented languages make garbled text layers.
 SOURCES = {
     "transcript": "CASE WHEN doc_id % 5 = 0 THEN ' ' || text || ' ' WHEN doc_id % 5 = 1 THEN ' ' END",

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import demo
 from lectern.cli import main, parser
 from lectern.functions import questions as qs
 from lectern.functions import text as tx
@@ -12,7 +13,7 @@ from lectern.sources import files as src
 from lectern.sources import ocr
 from lectern.streaming.questions import answer_stream
 
-DEMO = "Chapter 1: परिचय\nDefinitions\nThe textbook explains multilingual knowledge extraction.\n- Point 1: Clean the OCR text.\n- Point 2: Preserve headings and bullet points.\n\nવિષયવસ્તુ\nઆ પુસ્તકમાં Gujarati, English, અને Sanskrit mixed content છે.\n- મહત્વપૂર્ણ વિચાર 1\n- મહત્વપૂર્ણ વિચાર 2"
+DEMO = demo.TEXT
 TRANSCRIPT = "# ગીતા (UTF-8)\n# 2) શ્લોક નંબર સાથે લખો.\n\nઅધ્યાય ૧\nશ્લોક ૧\nધૃતરાષ્ટ્ર ઉવાચ\nમામકાઃ ॥૧॥\n\nશ્લોક ૨\nસંજય ઉવાચ\nઆચાર્યમ્ ॥૨॥\n"
 
 
@@ -107,6 +108,55 @@ def test_normalisation(spark):
     assert row[0] == "fine example\n\nx y"
 
 
+#: Texts and their clusters: of Unicode's break tests for CR LF, marks, Hangul, prepended and spacing marks, flags, emoji joined by ZWJ, and conjuncts.
+CLUSTERS = [
+    ["\r\n"], ["a\u0308", "b"], ["\u1100\u1161\u11a8", "\u1100"], ["\U0001f1e6\U0001f1e7", "\U0001f1e8", "b"], ["\U0001f468\u200d\U0001f469\u200d\U0001f466"], ["\U0001f44d\U0001f3fd", "x"], ["\u0ba8\u0bbf"],
+    ["\u0915", "\u0924"], ["\u0915\u094d\u0924"], ["\u0915\u094d\u094d\u0924"], ["\u0915\u094d\u200d\u0924"], ["\u0915\u093c\u200d\u094d\u0924"], ["\u0915\u093c\u094d\u200d\u0924"], ["\u0915\u094d\u0924\u094d\u092f"], ["\u0915\u094d", "a"], ["a\u094d", "\u0924"], ["?\u094d", "\u0924"],
+    ["સં", "જ", "ય"], ["શ્લો", "ક"], ["क्षे", "त्रे"],
+]
+
+
+def test_graphemes_and_mark_aware_terms(spark):
+    rows = spark.createDataFrame([("".join(x),) for x in CLUSTERS], "t string").select(tx.graphemes(F.col("t"))).collect()
+    assert [r[0] for r in rows] == CLUSTERS
+    row = spark.createDataFrame([("સંજય ઉવાચ, क्षेत्रे x ૧૨",)], "t string").select(tx.terms(F.col("t"), 2), tx.terms(F.col("t"), 2, mark_aware=True), tx.terms(F.col("t"), 1, mark_aware=True)).first()
+    assert list(row) == [[], ["સંજય", "ઉવાચ"], ["સંજય", "ઉવાચ", "क्षेत्रे", "૧૨"]]
+    items = docs(spark, "સંજય ઉવાચ", "જય હો", "સંજયે કહ્યું")
+    query = spark.createDataFrame([(1, "સંજય")], "query_id long, text string")
+    assert search.keyword_search(items, query, "doc_id").count() == 0
+    assert [(r.doc_id, r.score) for r in search.keyword_search(items, query, "doc_id", mark_aware=True).collect()] == [(0, 1.0)]
+
+
+def test_settled_text_has_its_compatibility_form():
+    """Every code point, and random strings of settled ones after any other; Python's own tables decide."""
+    import random
+    import re
+    import sys
+    import unicodedata
+
+    open_ = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", tx.unsettled()))
+    every = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    settled = [c for c in every if not open_.match(c)]
+    assert all(unicodedata.normalize("NFKC", c) == c for c in settled) and len(settled) > 1_000_000
+    assert {"é", "ß", "ü", "ક", "શ"} <= set(settled) and not {"ﬁ", "\u0301", "½", "\u1161", "\u0cd6"} & set(settled)
+    r = random.Random(1)
+    common = [c for c in settled if ord(c) < 0x3000]
+    for _ in range(10_000):
+        text = "".join(r.choice(common) for _ in range(12))
+        assert unicodedata.normalize("NFKC", text) == text
+
+
+def test_compatibility_forms(spark):
+    import random
+    import unicodedata
+
+    r = random.Random(2)
+    pool = "aé\u0301ﬁ½\u1100\u1161\u11a8क\u093c\u0327\u0338<＜Ａ①ß "
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(10))) for _ in range(500)] + [None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.nfkc(F.col("t")).alias("n")).collect()
+    assert all(x.n == (None if x.t is None else unicodedata.normalize("NFKC", x.t)) for x in got)
+
+
 def asked(spark, *texts):
     return spark.createDataFrame([(i, 0, q) for i, q in enumerate(texts)], "query_id long, doc_id long, query string")
 
@@ -215,6 +265,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--data-dir", str(tmp_path), "--use-llm", "--query", QUESTIONS[0]]) == 0
 
 
+def test_demo_driver(spark, capsys):
+    demo.main()
+    out = capsys.readouterr().out
+    assert "=== MODULE 1: STRUCTURED MARKDOWN ===\n# Chapter 1: परिचय\n\n## Definitions\n\nThe textbook" in out
+    assert "[sample_textbook-chunk-1] ['Chapter 1: परिचय', 'Definitions'] -> The textbook explains" in out
+    assert "0.600 | sample_textbook-chunk-1 | The textbook" in out and out.rstrip().split("=== MODULE 3: ANSWER ===\n")[1].startswith("Point 1: Clean the OCR text.")
+
+
 def test_no_bare_classes_in_text_functions():
     import re
     from pathlib import Path
