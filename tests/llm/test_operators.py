@@ -461,6 +461,43 @@ def test_lm_scores(spark):
     assert lm_scoring.score_documents(docs.limit(0), tokenizer_path(PIECES)).count() == 0
 
 
+def test_lm_score_sums_all_segmentations(spark):
+    """Piece probabilities by the same rounds, and every segmentation of every word one by one."""
+    from lectern.llm import lattice as lat
+
+    texts = ["the cat sat", "a catalogue of cats", "Ünï x", "", "the theatre", "cat"]
+    docs = spark.createDataFrame([(i, i == 4, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, tokenizer_path(PIECES)).collect()}
+    lattice = lat.loaded(tokenizer_path(PIECES))
+
+    def segmentations(word, at=0):
+        if at == len(word):
+            yield ()
+        for end in range(at + 1, len(word) + 1):
+            piece = lattice.pieces.get(word[at:end], lattice.unknown if end == at + 1 else None)
+            if piece is not None:
+                for rest in segmentations(word, end):
+                    yield (piece, *rest)
+
+    count = Counter(w for i, t in enumerate(texts) if i != 4 for w in t.encode().lower().split())
+    log_p, log_end = lattice.prior, 0.0
+    for _ in range(2):
+        step, uses = lattice.step(log_p), np.full(lattice.size + 1, lm_scoring.SMOOTHING)
+        for word, n in count.items():
+            every = list(segmentations(lat.MARK + word.decode()))
+            p = np.array([np.exp(sum(step[x] for x in own)) for own in every])
+            for own, share in zip(every, p / p.sum(), strict=True):
+                for x in own:
+                    uses[x] += n * share
+        uses[-1] += 5
+        log_p, log_end = np.log(uses[:-1] / uses.sum()), np.log(uses[-1] / uses.sum())
+    step = lattice.step(log_p)
+    for i, text in enumerate(texts):
+        words = text.encode().lower().split()
+        wanted = log_end + sum(np.log(sum(np.exp(sum(step[x] for x in own)) for own in segmentations(lat.MARK + w.decode()))) for w in words)
+        assert math.isclose(got[i], wanted / math.log(10), rel_tol=1e-9)
+
+
 def test_language_identification(spark):
     languages = {"en": "the of and to in that", "de": "der die und nicht ein ist schön", "fr": "le la les dans une été"}
     r, rows = random.Random(9), []
