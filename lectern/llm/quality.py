@@ -3,13 +3,17 @@
 Each document becomes a vector of transformed statistics: the log of its mean
 word length, and the square roots of its shares of symbols, of repeated lines
 and of words in repeated three-word windows.  For every language and source a
-minimum-covariance-determinant estimate is made by concentration steps: from
-medians on, the ``SHARE`` of documents with the least Mahalanobis distance gives
-the next mean and covariance, until the core no longer changes (``STEPS`` at most).  Documents beyond a chi-squared quantile of the
-final distance are rejected, besides those that fail the base rules.
-
-Steps reduce a group to a histogram of distances and to sums, both mergeable, so
-a source with a third of all rows is no task of its own.  The Cholesky factor is
+minimum-covariance-determinant estimate is made by concentration steps: the
+``SHARE`` of documents with the least Mahalanobis distance gives the next mean and
+covariance, until the core no longer changes (``STEPS`` at most).  There are two
+starts, the medians with the least variances and with those of the quartiles; after
+``TRIALS`` steps the one of the smaller determinant goes on.  Documents beyond a
+chi-squared quantile of the final distance are rejected, besides those that fail the
+base rules.
+
+A step is one pass: rows are reduced to counts and sums for each bin of the distance,
+which are mergeable, so a source with a third of all rows is no task of its own, and
+the core's moments are running sums over the bins.  The Cholesky factor is
 written out as column expressions.  Groups of fewer than ``LEAST`` documents are
 pooled by language, and languages with fewer still with each other.
 
@@ -32,7 +36,7 @@ from lectern.llm.common import checked, forget, stored
 WORDS_RE, BLANK_RE, SYMBOL_RE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 #: Features and the least standard deviation each is taken to have: 6 percent of a word for x0, one unit in about 300 for x1, in 100 for x2 and x3.
 FLOORS = {"x0": 0.06, "x1": 0.06, "x2": 0.1, "x3": 0.1}
-SHARE, STEPS, LEAST, QUANTILE = 0.75, 30, 40, 0.999
+SHARE, STEPS, TRIALS, LEAST, QUANTILE = 0.75, 30, 2, 40, 0.999
 #: Change of the estimates below which the core counts as settled.
 SETTLED = 1e-9
 #: Histogram bins for a factor e of the squared distance.
@@ -105,35 +109,54 @@ def distance(dims: list[str]) -> Column:
 
 
 def factored(moments: DataFrame, dims: list[str]) -> DataFrame:
-    """group, m_i and the Cholesky factor l_ij of the covariance s_ij, the variances not below their floors."""
+    """group, start, m_i and the Cholesky factor l_ij of the covariance s_ij, the variances not below their floors."""
     df = moments.withColumns({f"s{i}{i}": F.greatest(F.col(f"s{i}{i}"), F.lit(FLOORS[x] ** 2)) for i, x in enumerate(dims)})
     for i in range(len(dims)):
         for j in range(i + 1):
             rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"s{i}{j}"))  # noqa: B023
             df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return df.select("group", *(f"m{i}" for i in range(len(dims))), *(f"l{i}{j}" for i in range(len(dims)) for j in range(i + 1)))
+    return df.select("group", "start", *(f"m{i}" for i in range(len(dims))), *(f"l{i}{j}" for i in range(len(dims)) for j in range(i + 1)))
+
+
+def starts(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """Two starts for each group: medians with the floors' variances, and with those that the quartiles of a normal sample have."""
+    quartiles = rows.groupBy("group").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i, x in enumerate(dims)))
+    both = quartiles.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    spread = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
+    variances = {f"s{i}{j}": F.when(F.col("start") == 1, spread(i) * spread(i)).otherwise(0.0) if i == j else F.lit(0.0) for i in range(len(dims)) for j in range(i + 1)}
+    return factored(both.select("group", "start", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(dims))), *(c.alias(k) for k, c in variances.items())), dims)
+
+
+def concentrated(rows: DataFrame, params: DataFrame, dims: list[str], share: float) -> DataFrame:
+    """The next estimates: mean and covariance of the nearest ``share`` of each group, to whole bins of the distance."""
+    scale = share / chi2_cdf(chi2_quantile(share, len(dims)), len(dims) + 2)
+    pairs = [(i, j) for i in range(len(dims)) for j in range(i + 1)]
+    near = rows.join(params, "group").withColumn("bin", F.floor(F.log(distance(dims) + 1e-9) * BINS))
+    sums = {"n": F.count("*"), **{f"t{i}": F.sum(x) for i, x in enumerate(dims)}, **{f"u{i}{j}": F.sum(F.col(dims[i]) * F.col(dims[j])) for i, j in pairs}}
+    bins = near.groupBy("group", "start", "bin").agg(*(c.alias(k) for k, c in sums.items()))
+    own = Window.partitionBy("group", "start")
+    run = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = bins.select("group", "start", F.col("n").alias("_n"), F.sum("n").over(own).alias("_all"), *(F.sum(k).over(run).alias(k) for k in sums))
+    core = so_far.filter((F.col("n") >= share * F.col("_all")) & (F.col("n") - F.col("_n") < share * F.col("_all")))
+    moments = core.select("group", "start", *((F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(len(dims))), *((scale * (F.col(f"u{i}{j}") / F.col("n") - F.col(f"t{i}") * F.col(f"t{j}") / F.col("n") / F.col("n"))).alias(f"s{i}{j}") for i, j in pairs))
+    return factored(moments, dims)
 
 
 def robust_estimates(rows: DataFrame, dims: list[str], share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """The estimate of each group: m_i, l_ij.  ``rows`` has group and the features."""
-    start = rows.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(dims)))
-    start = start.select("*", *((F.lit(0.0)).alias(f"s{i}{j}") for i in range(len(dims)) for j in range(i + 1)))
-    params = checked(stored(factored(start, dims), "mcd"))
-    scale = share / chi2_cdf(chi2_quantile(share, len(dims)), len(dims) + 2)
-    order = Window.partitionBy("group").orderBy("bin")
-    for _ in range(steps):
-        near = rows.join(params, "group").select("group", *dims, F.floor(F.log(distance(dims) + 1e-9) * BINS).alias("bin"))
-        bins = near.groupBy("group", "bin").agg(F.count("*").alias("n"))
-        total = F.sum("n").over(Window.partitionBy("group"))
-        cut = bins.select("group", "bin", (F.sum("n").over(order) >= share * total).alias("enough")).filter("enough").groupBy("group").agg(F.min("bin").alias("cut"))
-        core = near.join(checked(stored(cut, "cut")), "group").filter("bin <= cut")
-        moments = core.groupBy("group").agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(dims)), *((scale * F.covar_pop(x, y)).alias(f"s{i}{j}") for i, x in enumerate(dims) for j, y in enumerate(dims[: i + 1])))
-        old, params = params, checked(stored(factored(moments, dims), "mcd"))
-        names = [c for c in params.columns if c != "group"]
-        moved = params.join(old.select("group", *(F.col(c).alias(f"_{c}") for c in names)), "group").filter(reduce(lambda a, c: a | (F.abs(F.col(c) - F.col(f"_{c}")) > SETTLED), names, F.lit(False)))
-        if moved.isEmpty():
+    params = checked(stored(starts(rows, dims), "mcd"))
+    determinant = reduce(lambda a, i: a * F.col(f"l{i}{i}") * F.col(f"l{i}{i}"), range(len(dims)), F.lit(1.0))
+    for n in range(1, steps + 1):
+        found = concentrated(rows, params, dims, share)
+        if n == TRIALS:
+            best = F.row_number().over(Window.partitionBy("group").orderBy(determinant, "start"))
+            found = found.withColumn("_n", best).filter("_n = 1").drop("_n")
+        old, params = params, checked(stored(found, "mcd"))
+        names = [c for c in params.columns if c not in ("group", "start")]
+        moved = params.join(old.select("group", "start", *(F.col(c).alias(f"_{c}") for c in names)), ["group", "start"]).filter(reduce(lambda a, c: a | (F.abs(F.col(c) - F.col(f"_{c}")) > SETTLED), names, F.lit(False)))
+        if n > TRIALS and moved.isEmpty():
             break
-    return params
+    return params.drop("start")
 
 
 def judged(docs: DataFrame, *, quantile: float = QUANTILE, doc_id: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:

@@ -703,3 +703,44 @@ def test_templates_hold_whatever_their_length(spark):
     got = extracted(spark, {"short": short, "copies": copies})
     assert got["short"] == [f"Short {i}" for i in range(6)]
     assert got["copies"] == [prose(78, 50)] * 6
+
+
+def test_robust_estimates_equal_numpy(spark):
+    """The same starts and steps over all rows, and no greater a determinant than that of many random starts."""
+    r = np.random.default_rng(5)
+    dims, groups = list(quality.FLOORS), {}
+    for g, n in (("a", 400), ("b", 90), ("c", 60)):
+        x = r.normal([1.6, 0.3, 0.2, 0.4], [0.2, 0.15, 0.3, 0.25], (n, 4))
+        x[:, 3] += 0.8 * x[:, 0]
+        x[: n // 5] += [3, 1, 0, 2]  # outliers in a place of their own
+        groups[g] = x
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "group string, " + ", ".join(f"{d} double" for d in dims)).repartition(5)
+    got = {row.group: row for row in quality.robust_estimates(rows, dims).collect()}
+    share, scale = quality.SHARE, quality.SHARE / quality.chi2_cdf(quality.chi2_quantile(quality.SHARE, 4), 6)
+    floors = np.array(list(quality.FLOORS.values())) ** 2
+
+    def floored(s):
+        s = s.copy()
+        np.fill_diagonal(s, np.maximum(np.diag(s), floors))
+        return s
+
+    def step(x, m, s):
+        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+        bins = np.floor(np.log(d + 1e-9) * quality.BINS)
+        cut = min(b for b in set(bins) if (bins <= b).sum() >= share * len(x))
+        core = x[bins <= cut]
+        return core.mean(axis=0), floored(scale * np.cov(core.T, bias=True))
+
+    def settled(x, m, s, n):
+        for _ in range(n):
+            m, s = step(x, m, s)
+        return m, s
+
+    for g, x in groups.items():
+        q = np.percentile(x, [25, 50, 75], axis=0, method="inverted_cdf")
+        trials = [settled(x, q[1], s, quality.TRIALS) for s in (np.diag(floors), floored(np.diag(((q[2] - q[0]) / 1.349) ** 2)))]
+        m, s = settled(x, *min(trials, key=lambda p: np.linalg.det(p[1])), 40)
+        lower = np.array([[got[g][f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        assert np.allclose([got[g][f"m{i}"] for i in range(4)], m, atol=1e-7) and np.allclose(lower @ lower.T, s, atol=1e-7)
+        others = [settled(x, x[k].mean(axis=0), floored(np.cov(x[k].T)), 20)[1] for k in (r.choice(len(x), 6, replace=False) for _ in range(60))]
+        assert np.linalg.det(s) <= 1.05 * min(map(np.linalg.det, others))
