@@ -42,6 +42,8 @@ END = "</w>"
 #: Added to the code point of a word's last character: one symbol for "x</w>".
 LAST = 0x10000
 NEVER = 1 << 60
+#: Latin letters, which have no other normal form, and marks after them, which are a word of their own; an apostrophe may begin a contraction.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 #: Symbols beyond which a word is split where it may be.
 LONG_WORD = 4096
 
@@ -79,6 +81,9 @@ class Bpe:
         self.left_edge = Memo(lambda token: self._edge(token, 0), 2 * len(self.ids))
         self.compatible = Memo(self._compatible)
         self.words = Memo(self.encode_symbols, MEMO_ENTRIES // 4)
+        # Letters as the splitter writes their bytes.
+        latin = [chr(i) for i in range(0xDF, 0x100) if i != 0xF7]
+        self.letters = {ord(c): self.split(c)[0][0] for c in latin}
         texts = {i: token for token, i in vocab.items()} | {i: text for text, i in self.special.items()}
         pieces = [texts.get(i, "").encode() for i in range(max(texts) + 1)]
         self.table = np.frombuffer(b"".join(b" " + p for p in pieces), np.uint8)
@@ -91,6 +96,11 @@ class Bpe:
         token = token[: -len(END)]
         return token[:-1] + chr(ord(token[-1]) + LAST)
 
+    @staticmethod
+    def _last(word: str) -> str:
+        """A word's symbols."""
+        return word[:-1] + chr(ord(word[-1]) + LAST)
+
     def _merged(self, symbols: str) -> list[str]:
         """The merges by rank, plainly; only single tokens and pairs of tokens come here."""
         parts = list(symbols)
@@ -170,7 +180,7 @@ class Bpe:
         done = 0
         for found in itertools.chain(self.specials.finditer(text), [None]):
             for word, _ in self.split(self.normalize(text[done : found.start() if found else len(text)])):
-                symbols = word[:-1] + chr(ord(word[-1]) + LAST)
+                symbols = self._last(word)
                 if len(symbols) <= LONG_WORD:
                     out += self.words[symbols]
                 else:
@@ -192,12 +202,14 @@ class Bpe:
 
     def encode_word(self, raw: bytes) -> bytes:
         """Ids of a text without white space, as bytes."""
-        if raw.isalpha():  # ASCII letters: nothing to normalise or split
-            word = raw.lower().decode()
-            symbols = word[:-1] + chr(ord(word[-1]) + LAST)
-            ids = self.encode_symbols(symbols) if len(symbols) <= LONG_WORD else self.encode(word)
+        text = raw.decode("utf-8", "replace")
+        plain = PLAIN.fullmatch(text) if len(raw) <= LONG_WORD else None
+        if plain:  # one place to split
+            ids = self.words[self._last(plain[1].lower().translate(self.letters))]
+            if plain[2]:
+                ids = ids + self.words[self._last(plain[2])]
         else:
-            ids = self.encode(raw.decode("utf-8", "replace"))
+            ids = self.encode(text)
         return array("I", ids).tobytes()
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:

@@ -139,16 +139,24 @@ def held(key, make):
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts over when it is full, by entries or by the length of keys."""
+    """A dict that computes what it lacks, bounded by entries and by the length of keys.
+
+    It holds two generations of half that size.  When the young one is full it becomes the
+    old one, and what is asked for again comes back from there; so common keys stay.
+    """
 
     def __init__(self, make, most: int = MEMO_ENTRIES, most_bytes: int = MEMO_BYTES):
         super().__init__()
-        self.make, self.most, self.most_bytes, self.bytes = make, most, most_bytes, 0
+        self.make, self.most, self.most_bytes, self.bytes, self.old = make, most // 2, most_bytes // 2, 0, {}
 
     def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= self.most or self.bytes >= self.most_bytes:
+            self.old = dict(self)
             self.clear()
             self.bytes = 0
-        self[key] = out = self.make(key)
+        self[key] = out
         self.bytes += len(key)
         return out
