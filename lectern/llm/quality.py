@@ -69,7 +69,7 @@ def base_failed() -> Column:
 
 
 def vectors(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``stats`` with features x0.. and the group of each row."""
+    """``stats`` with features x0.. and the group of each row; stored."""
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     df = stats.withColumns({
         "x0": F.log(F.greatest(share("word_chars", "n_words"), F.lit(0.5))),
@@ -84,7 +84,10 @@ def vectors(stats: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     pooled = sizes.withColumn("_pool", F.when(F.col("n") >= LEAST, F.col("_g")))
     rest = sizes.filter(F.col("n") < LEAST).groupBy("_l").agg(F.sum("n").alias("rest"))
     pooled = pooled.join(rest, "_l", "left").select("_g", F.coalesce("_pool", F.when(F.col("rest") >= LEAST, F.col("_l")), F.lit("*")).alias("group"))
-    return df.join(checked(stored(pooled, "groups")), "_g").drop("_g", "_l")
+    groups = stored(pooled, "groups")
+    out = stored(df.join(checked(groups), "_g").drop("_g", "_l"), "quality")
+    forget(groups)
+    return out
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -144,26 +147,28 @@ def concentrated(rows: DataFrame, params: DataFrame, dims: list[str], share: flo
 
 def robust_estimates(rows: DataFrame, dims: list[str], share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """The estimate of each group: m_i, l_ij.  ``rows`` has group and the features."""
-    params = checked(stored(starts(rows, dims), "mcd"))
+    params = stored(starts(rows, dims), "mcd")
     determinant = reduce(lambda a, i: a * F.col(f"l{i}{i}") * F.col(f"l{i}{i}"), range(len(dims)), F.lit(1.0))
     for n in range(1, steps + 1):
-        found = concentrated(rows, params, dims, share)
+        found = concentrated(rows, checked(params), dims, share)
         if n == TRIALS:
             best = F.row_number().over(Window.partitionBy("group").orderBy(determinant, "start"))
             found = found.withColumn("_n", best).filter("_n = 1").drop("_n")
-        old, params = params, checked(stored(found, "mcd"))
+        old, params = params, stored(found, "mcd")
         names = [c for c in params.columns if c not in ("group", "start")]
         moved = params.join(old.select("group", "start", *(F.col(c).alias(f"_{c}") for c in names)), ["group", "start"]).filter(reduce(lambda a, c: a | (F.abs(F.col(c) - F.col(f"_{c}")) > SETTLED), names, F.lit(False)))
-        if n > TRIALS and moved.isEmpty():
+        settled = n > TRIALS and moved.isEmpty()
+        forget(old)
+        if settled:
             break
-    return params.drop("start")
+    return checked(params).drop("start")
 
 
 def judged(docs: DataFrame, *, quantile: float = QUANTILE, doc_id: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """Statistics, base_failed, the squared distance and kept for every row of ``docs``."""
     dims = list(FLOORS)
     stats = stored(statistics(docs, keep=(doc_id, lang, source), text=text), "statistics")
-    rows = stored(vectors(stats, lang, source), "quality")
+    rows = vectors(stats, lang, source)
     forget(stats)
     params = robust_estimates(rows.filter("NOT base_failed").select("group", *dims), dims)
     out = rows.join(params, "group", "left").withColumn("distance", distance(dims))

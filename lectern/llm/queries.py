@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, chat_format, decontamination, html_extraction, jaccard_join, language_id, line_dedup, line_quality, lm_scoring, prefix_trie, quality, spelling, token_counts
-from lectern.llm.common import fold_is, stored, table
+from lectern.llm.common import fold_is, forget, stored, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -103,12 +103,17 @@ def rebuilt_paths(paths: DataFrame) -> DataFrame:
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = stored(prefix_trie.conversation_paths(table(spark, sf_dir, "conversations")), "paths")
-    nodes = prefix_trie.prefix_nodes(stored(rebuilt_paths(own), "rebuilt"))
+    rebuilt = stored(rebuilt_paths(own), "rebuilt")
+    nodes = prefix_trie.prefix_nodes(rebuilt)
+    forget(own, rebuilt)
     return nodes.toDF("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+    words = spelling.word_counts(table(spark, sf_dir, "documents"))
+    found = spelling.variants(words)
+    forget(words)
+    return found
 
 
 QUERIES = {
