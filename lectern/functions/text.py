@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -25,13 +26,25 @@ def unsettled() -> str:
     second = {p[1] for c in map(chr, range(0x80, sys.maxunicode + 1)) if len(p := unicodedata.decomposition(c).split(" ")) == 2 and not p[0].startswith("<")}
     joins = {int(x, 16) for x in second} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
     found = [i for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and (i in joins or unicodedata.combining(chr(i)) or unicodedata.normalize("NFKC", chr(i)) != chr(i))]
+    return char_class(found)
+
+
+def char_class(points) -> str:
+    """A class of code points given in order, without its brackets."""
     ranges: list[list[int]] = []
-    for i in found:
+    for i in points:
         if ranges and ranges[-1][1] == i - 1:
             ranges[-1][1] = i
         else:
             ranges.append([i, i])
-    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
+@lru_cache(maxsize=1)
+def usual() -> str:
+    """A short class of settled characters that most texts are of: Latin, Devanagari and Gujarati."""
+    open_ = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", unsettled()) + "]")
+    return char_class(i for block in (range(0x250), range(0x900, 0x980), range(0xA80, 0xB00)) for i in block if not open_.match(chr(i)))
 
 
 @F.pandas_udf(T.StringType())
@@ -45,7 +58,9 @@ _nfkc_once = _nfkc.asNondeterministic()
 
 def nfkc(c: Column) -> Column:
     """Compatibility forms; only text with a character that may change is sent to Python."""
-    return F.coalesce(_nfkc_once(F.when(c.rlike(unsettled()), c)), c)
+    # The long class is slow, so only text with an unusual character meets it.
+    may = c.rlike(r"[^\x00-\x7F]") & c.rlike(f"[^{usual()}]") & c.rlike(f"[{unsettled()}]")
+    return F.coalesce(_nfkc_once(F.when(may, c)), c)
 
 
 def strip(c: Column) -> Column:

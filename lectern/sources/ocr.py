@@ -57,11 +57,6 @@ def polygon_bbox(points: Column) -> Column:
     return F.transform(F.array(F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(0)), F.array_max(side(1))), lambda x: x.cast("int"))
 
 
-def flatten_pages(result: Column) -> Column:
-    """Lines of an engine that nests them by page."""
-    return F.flatten(result)
-
-
 def normal_languages(hints: Column) -> Column:
     known = lex.lookup(lex.LANGUAGE_ALIASES)
     found = F.array_distinct(F.array_compact(F.transform(hints, lambda x: known[F.lower(x)])))

@@ -134,7 +134,7 @@ def test_settled_text_has_its_compatibility_form():
     import sys
     import unicodedata
 
-    open_ = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", tx.unsettled()))
+    open_ = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", f"[{tx.unsettled()}]"))
     every = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
     settled = [c for c in every if not open_.match(c)]
     assert all(unicodedata.normalize("NFKC", c) == c for c in settled) and len(settled) > 1_000_000
