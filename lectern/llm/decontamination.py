@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.blobs import ranges, word_hashes
-from lectern.llm.common import raw_texts, stored, text_chunks
+from lectern.llm.common import raw_texts, release, stored, text_chunks
 
 WINDOW = 10
 #: Words within which those of a window count as near.
@@ -63,6 +63,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """Segments of ``docs`` (doc_id long, text): the positions of every word, terms as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         base = TaskContext.get().partitionId() << 32
         for n, chunk in enumerate(text_chunks(batches, "text")):
             split = [words_of(raw) for raw in raw_texts(chunk.column("text"))]
@@ -191,6 +192,7 @@ def phrase_matches(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]]
     asked = Asked(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row, asked.terms)
@@ -242,6 +244,7 @@ def proximity_matches(index: DataFrame, queries: dict[tuple[bytes, ...], list[st
     asked = Asked(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for row in batch.to_pylist():
                 seg, out = Segment(row, asked.terms), defaultdict(set)
@@ -290,6 +293,7 @@ def merged(found: list[DataFrame]) -> DataFrame:
     rows = every.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             pairs = [spans(np.array(s, np.int64), np.array(e, np.int64) - np.array(s, np.int64)) for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("segment", "row", "doc_id", "n_words")), *(pa.array([p[i] for p in pairs], pa.list_(pa.int32())) for i in (0, 1)), batch.column("items")], names=[x.split(" ")[0] for x in MATCHES.split(", ")])

@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 from sentencepiece import SentencePieceProcessor
 
-from lectern.llm.common import MEMO_BYTES, MEMO_ENTRIES
+from lectern.llm.common import CACHES, MEMO_BYTES, MEMO_ENTRIES
 
 MARK = "▁"
 CODE_POINTS = 0x110000
@@ -201,3 +201,6 @@ class WordScores:
 @lru_cache(maxsize=2)
 def loaded(path: str) -> Lattice:
     return Lattice(path)
+
+
+CACHES.append(loaded.cache_clear)
