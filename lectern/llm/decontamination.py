@@ -194,7 +194,7 @@ def phrase_matches(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 seg = Segment(row, asked.terms)
                 starts, sizes, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], defaultdict(set)
                 for terms, names in asked.met(seg):
@@ -225,6 +225,12 @@ def phrase_matches(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]]
     return index.mapInArrow(run, MATCHES)
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, of which Spark sends many: only one segment is unpacked at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of stretches, as sorted starts and ends."""
     order = np.argsort(starts, kind="stable")
@@ -246,7 +252,7 @@ def proximity_matches(index: DataFrame, queries: dict[tuple[bytes, ...], list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 seg, out = Segment(row, asked.terms), defaultdict(set)
                 for terms, names in asked.met(seg):
                     found = seg.proximity(terms, span)
