@@ -1,13 +1,16 @@
 """Results worked out by hand from the documented behaviour."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lectern import demo
 from lectern.cli import main, parser
 from lectern.functions import questions as qs
+from lectern.functions import regexes as rx
 from lectern.functions import text as tx
-from lectern.operators import chunking, generation, routing, search, vectors
+from lectern.operators import chunking, generation, routing, search, structure, vectors
 from lectern.plans import documents as plans
 from lectern.sources import files as src
 from lectern.sources import ocr
@@ -281,3 +284,49 @@ def test_no_bare_classes_in_text_functions():
 
     body = Path(module.__file__).read_text()
     assert not re.search(r"\\[wsbd]|initcap", body)
+
+
+def test_keyword_search_shuffles_only_the_best_of_each_task(spark, monkeypatch):
+    """Every query against every item, by hand; what meets is ranked within the tasks, in pieces of any size."""
+    r = random.Random(7)
+    words = [f"word{i}" for i in range(12)]
+    texts = {i: " ".join(r.choice(words) for _ in range(r.randrange(25))) for i in range(300)} | {300: None, 301: ""}
+    asked = {q: " ".join(r.choice(words) for _ in range(r.randrange(6))) for q in range(70)} | {70: None, 71: "unheard of"}
+    items = spark.createDataFrame([(i // 10, i % 10, t) for i, t in texts.items()], "doc_id long, no int, text string").repartition(7)
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    for distinct in (False, True):
+        wanted = set()
+        for q, text in asked.items():
+            terms = list(dict.fromkeys((text or "").split()))
+            sums = {i: sum(min(own.count(t), 1) if distinct else own.count(t) for t in terms) for i, x in texts.items() if (own := (x or "").split())}
+            best = sorted((i for i, n in sums.items() if n), key=lambda i: (-sums[i], i))[:5]
+            wanted |= {(q, rank, i // 10, i % 10, round(sums[i] / len(terms), 9)) for rank, i in enumerate(best, 1)}
+        for pieces in (1 << 20, 50):
+            monkeypatch.setattr(search, "MATCHES", pieces)
+            monkeypatch.setattr(search, "SUMS", pieces)
+            found = search.keyword_search(items, queries, "doc_id", "no", distinct=distinct)
+            assert {tuple(row) for row in found.collect()} == wanted
+    plan = search.keyword_search(items.coalesce(1), queries, "doc_id", "no")._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_strip_takes_all_white_space_and_needs_no_pattern(spark):
+    # Every character of a plane that is not a half of a pair, at both ends of a text.
+    points = [i for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(f"{chr(i)}{chr(i)} a{chr(i)}b {chr(i)}",) for i in points] + [("",), (" \n ",), (None,)], "t string")
+    by_pattern = F.regexp_replace("t", f"^{rx.SPACE}+|{rx.SPACE}+$", "")
+    assert rows.filter(~tx.strip(F.col("t")).eqNullSafe(by_pattern)).count() == 0
+    assert "regexp" not in rows.select(tx.strip(F.col("t")))._jdf.queryExecution().toString()
+    table = F.col("t").rlike(rx.TABLE_ROW)
+    assert rows.filter(~structure.is_table_row(F.col("t")).eqNullSafe(table)).count() == 0
+    blanks = F.regexp_replace("t", "[ \t]+", " ")
+    assert rows.filter(~F.regexp_replace("t", "\t[ \t]*| [ \t]+", " ").eqNullSafe(blanks)).count() == 0
+
+
+def test_vectors_are_ranked_in_bounded_pieces(spark, monkeypatch):
+    r = random.Random(3)
+    items = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(200)], "item_id long, v array<double>").coalesce(2)
+    queries = items.filter("item_id < 20").withColumnRenamed("item_id", "query_id")
+    wanted = sorted(map(tuple, vectors.vector_search(items, queries).collect()))
+    monkeypatch.setattr(vectors, "PRODUCTS", 30)
+    assert sorted(map(tuple, vectors.vector_search(items, queries).collect())) == wanted
