@@ -744,3 +744,16 @@ def test_robust_estimates_equal_numpy(spark):
         assert np.allclose([got[g][f"m{i}"] for i in range(4)], m, atol=1e-7) and np.allclose(lower @ lower.T, s, atol=1e-7)
         others = [settled(x, x[k].mean(axis=0), floored(np.cov(x[k].T)), 20)[1] for k in (r.choice(len(x), 6, replace=False) for _ in range(60))]
         assert np.linalg.det(s) <= 1.05 * min(map(np.linalg.det, others))
+
+
+def test_entries_of_sets_stay_small_however_many_parts(spark):
+    docs = spark.createDataFrame([(i, prose(i, 400)) for i in range(60)] + [(60, prose(60, 30_000))], "doc_id long, text string")
+    bands = jaccard_join.Bands.of(75)
+    hashes, sizes = jaccard_join.shingle_sets([r.text.encode() for r in docs.sort("doc_id").collect()])
+    n = len(jaccard_join.entries(hashes, sizes, jaccard_join.set_nodes(hashes, sizes), bands)[0])
+    for parts, most in ((2, 5.5), (4000, 14.5)):
+        blobs = jaccard_join.key_blobs(docs, parts, bands, jaccard_join.WIDTH).filter("part >= 0")
+        size = blobs.agg(F.sum(sum(F.octet_length(c) for c in blobs.columns if c != "part"))).first()[0]
+        assert size <= most * n
+    node = np.repeat(np.array([3, 5, 9], np.uint64), [1, 600, 255])
+    assert jaccard_join.run_starts(node).tolist() == [0, 1, 256, 511, 601]
