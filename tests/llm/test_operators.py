@@ -370,6 +370,35 @@ def test_line_dedup_does_not_depend_on_the_dealing(spark):
     assert sum(text.count("\n") + 1 for _, text in found[0]) == 2 + 60
 
 
+def test_lines_that_a_leader_refuses_meet_each_other(spark):
+    """Halves that change places keep sketch and keys, but not the edit similarity."""
+    texts = []
+    for i in range(24):
+        one, two = prose(7000 + i, 60), prose(8000 + i, 60)
+        texts += [f"{one} {two}", f"{two} {one}", f"{two} {one} end"]
+    docs = table(spark, texts).select("doc_id", "text")
+    got = {r.doc_id: r.n_cut for r in line_dedup.deduplicated(docs, drop_empty=False).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 0, 1] * 24
+
+
+def test_what_near_entries_of_a_key_connect_stays_connected(monkeypatch):
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(line_dedup, "PAIRS", 50)
+    n, key = 400, r.integers(0, 12, 400)
+    sim = r.integers(0, 1 << 63, 12, dtype=np.uint64)[key]
+    for _ in range(16):
+        sim ^= np.uint64(1) << r.integers(0, 64, n, dtype=np.uint64)
+    node, size = np.repeat(r.integers(0, 1 << 63, n // 2, dtype=np.uint64) * np.uint64(2), 2), r.integers(50, 57, n).astype(np.uint8)
+    sim, size = np.repeat(sim[::2], 2), np.repeat(size[::2], 2)
+    a, b = (np.concatenate(x).astype(np.int64) for x in zip(*line_dedup.met(key.astype(np.uint32), node, sim, size), strict=True))
+    assert (a < b).all() and len(a) < n + 12 * 12
+    group = dict(zip(*(x.tolist() for x in graph.local_components(a, b)), strict=True))
+    pairs = [(i, j) for i, j in itertools.combinations(range(n), 2) if key[i] == key[j] and node[i] != node[j]]
+    pairs = [(i, j) for i, j in pairs if int(sim[i] ^ sim[j]).bit_count() <= line_dedup.BITS and abs(int(size[i]) - int(size[j])) <= line_dedup.STEPS]
+    signed = node.astype(np.int64).tolist()
+    assert len(pairs) > 300 and all(group[signed[i]] == group[signed[j]] for i, j in pairs)
+
+
 def test_clashing_columns_and_rows_without_an_id(spark):
     line = prose(5, 10)
     rows = [(1, f"{line}\nfirst", 7, "a", 1, None, 3), (None, f"{line}\n{line}", 8, "b", 2, None, 4), (None, "own words", 9, "c", 3, None, 5)]
