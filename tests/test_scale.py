@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import regexes as rx
 from lectern.functions import text as tx
-from lectern.operators import chunking, structure
+from lectern.operators import chunking, search, structure
 from lectern.plans import registry
 from lectern.sources import files as src
 
@@ -53,3 +53,12 @@ def test_words_are_not_shuffled(spark):
         found = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         physical = found._jdf.queryExecution().executedPlan().toString()
         assert physical.count("Exchange ") == 1 and physical.index("Generate") < physical.index("Exchange "), name
+
+
+def test_hits_give_their_best_sentences_where_texts_are_read(spark):
+    """No sentence is a row of a shuffle; ties go to the better hit, then to the earlier sentence."""
+    hits = spark.createDataFrame([(1, 1, "Stone river. No such word here. River again."), (1, 2, "River stone! " + "Filler words only. " * 50), (2, 1, "Nothing of it.")], "query_id long, rank int, text string")
+    queries = spark.createDataFrame([(1, "river stone"), (2, "cloud"), (3, "delta")], "query_id long, text string")
+    found = search.extractive_answers(hits, queries)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert dict(found.collect()) == {1: "Stone river. River stone! River again.", 2: "Nothing of it.", 3: search.NOTHING_FOUND}
