@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -315,6 +316,62 @@ def test_edit_distance_equals_the_plain_table():
         assert line_dedup.edit_distance(a, b, most) == min(levenshtein(a, b), most + 1)
 
 
+def test_edits_of_many_pairs_equal_the_plain_table():
+    r = random.Random(11)
+    for letters in ("abc", "ab\u0939\U0001f600"):
+        a, b = ([], [])
+        for _ in range(300):
+            text = [r.choice(letters) for _ in range(r.randrange(0, 40))]
+            a.append("".join(text))
+            for _ in range(r.randrange(0, 9)):
+                at = r.randrange(0, len(text) + 1)
+                text[at : at + r.randrange(0, 2)] = r.choice(["", r.choice(letters)])
+            b.append("".join(text) if r.random() < 0.8 else "".join(r.choice(letters) for _ in range(30)))
+        most = np.array([r.randrange(0, 12) for _ in a])
+        assert line_dedup.edits(a, b, most).tolist() == [levenshtein(x, y) <= k for x, y, k in zip(a, b, most.tolist(), strict=True)]
+        want = [levenshtein(x, y) <= int(0.15 * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
+        assert line_dedup.all_alike(a, b, 0.85).tolist() == want and 0 < sum(want) < len(want)
+    # Wide bands take numbers of two bytes.
+    long = "".join(r.choice("abc") for _ in range(3000))
+    assert line_dedup.edits([long] * 3, [long[300:], long[301:], long[:-300]], np.array([300, 300, 300])).tolist() == [True, False, True]
+    assert line_dedup.all_alike([], [], 0.85).tolist() == []
+
+
+def test_many_pairs_of_long_lines_are_refused_in_a_fraction_of_the_time():
+    """Lines of the same words in another order: every one of them was compared alone."""
+    r = random.Random(12)
+    words = ["".join(r.choice("etaoinsh") for _ in range(r.randrange(2, 9))) for _ in range(60)]
+    lines = [" ".join(r.sample(words, 60)) for _ in range(401)]
+    start = time.perf_counter()
+    assert not line_dedup.all_alike(lines[:-1], lines[1:], 0.85).any()
+    at_once = time.perf_counter() - start
+    start = time.perf_counter()
+    for a, b in itertools.pairwise(lines):
+        most = int(0.15 * max(len(a), len(b)))
+        assert line_dedup.changed(a.split(" "), b.split(" "), most) > most and line_dedup.edit_distance(a, b, most) > most
+    assert at_once < (time.perf_counter() - start) / 2
+
+
+def test_small_families_are_compared_together(spark, tmp_path):
+    rows = [(n // 3, n, n % 3) for n in range(150)] + [(50, 1000 + n, n % 2) for n in range(20)]
+    members = stored(spark.createDataFrame(rows, "family long, node long, kind long"), "members-of-test")
+
+    def links(together):
+        seen = tmp_path / str(together)
+        seen.mkdir()
+
+        def compare(unit, across):
+            (seen / f"{unit.column('node')[0]}-{unit.column('_lo')[0]}-{unit.column('_side')[0]}-{unit.num_rows}").touch()
+            kind = unit.column("kind").to_numpy()
+            return list(zip(*np.nonzero(across & (kind[:, None] == kind[None, :])), strict=True))
+
+        found = {(x.a, x.b) for x in graph.verified_links(members, compare, 2, block=8, together=together).collect()}
+        return found, len(list(seen.iterdir()))
+
+    (alone, n_alone), (both, n_both) = links(False), links(True)
+    assert both == alone and len(alone) > 50 and n_both < n_alone / 2
+
+
 def plainly_normalised(line):
     """The normal form, written without the module's tables."""
     words = "".join(c.lower() if c.isascii() else c for c in line if not c.isascii() or c.isalnum() or c in " \t\v\f\r")
