@@ -843,3 +843,20 @@ def test_entries_of_sets_stay_small_however_many_parts(spark):
         assert size <= most * n
     node = np.repeat(np.array([3, 5, 9], np.uint64), [1, 600, 255])
     assert jaccard_join.run_starts(node).tolist() == [0, 1, 256, 511, 601]
+
+
+def test_keys_of_large_inputs_are_dealt_out_to_few_parts(spark, monkeypatch):
+    """A set costs its node in each part, so parts are an eighth of those of the input; what is found in slices is the same."""
+    docs = spark.createDataFrame([(i, " ".join([prose(i // 3, 200), f"own{i}"])) for i in range(60)], "doc_id long, text string")
+    seen, own = [], jaccard_join.key_blobs
+    monkeypatch.setattr(jaccard_join, "key_blobs", lambda docs, parts, *rest: seen.append(parts) or own(docs, parts, *rest))
+    monkeypatch.setattr(jaccard_join, "partitions", lambda docs: 600)
+    blobs = jaccard_join.similar_documents(docs)
+    assert seen == [75]
+    assert {r.component_id for r in blobs.collect()} == set(range(0, 60, 3))
+    found = []
+    for slices in (1, 8):
+        monkeypatch.setattr(jaccard_join, "SLICES", slices)
+        groups = jaccard_join.candidate_groups(own(docs, 4, jaccard_join.Bands.of(75), 5), 4)
+        found.append(sorted((r.gid, r.node, r.role) for r in groups.collect()))
+    assert found[0] == found[1] and found[0]
