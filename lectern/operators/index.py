@@ -24,10 +24,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import shuffles
 from lectern.functions import text as tx
 from lectern.operators import routing, search, vectors
 
@@ -35,6 +37,8 @@ from lectern.operators import routing, search, vectors
 BLOCK = 256
 #: Ids or terms that are pushed down to the files as a list; more are joined.
 PUSHED = 1000
+#: Queries that share a posting on average, from which on postings are dealt out once for all of them.
+SHARED = 2
 #: The most that is broadcast, counted as 16 bytes a value.
 BROADCAST_BYTES = 32 << 20
 
@@ -78,7 +82,8 @@ class Index:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/version={version}")
 
     def _write(self, df: DataFrame, name: str, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
+        with shuffles.dropped(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
 
     def manifest(self) -> DataFrame:
         """doc_id, digest, segment of the live documents."""
@@ -163,9 +168,10 @@ class Index:
 
     def _segment(self, units: DataFrame, n: int) -> None:
         empty = self.spark.createDataFrame([], UNITS)
-        units.select(empty.columns).write.mode("overwrite").parquet(f"{self.path}/units/segment={n}")
-        own = self.spark.read.schema(UNITS).parquet(f"{self.path}/units/segment={n}")
-        posting_blocks(own.filter("kind = 'chunk'")).write.mode("overwrite").parquet(f"{self.path}/postings/segment={n}")
+        with shuffles.dropped(self.spark):
+            units.select(empty.columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/units/segment={n}")
+            own = self.spark.read.schema(UNITS).parquet(f"{self.path}/units/segment={n}")
+            posting_blocks(own.filter("kind = 'chunk'")).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/postings/segment={n}")
 
     # --- Reading ---
 
@@ -206,28 +212,46 @@ def posting_blocks(chunks: DataFrame) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term, rows = None, []
-
-        def block() -> pa.RecordBatch:
-            kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("doc_id", "no", "tf")]))
-            postings = [{"doc_id": d, "no": n, "tf": tf} for tf, d, n in rows]
-            return pa.RecordBatch.from_arrays([pa.array([term]), pa.array([rows[0][0]], pa.int64()), pa.array([len(rows)], pa.int32()), pa.array([postings], kind)], names=["term", "most", "n", "postings"])
-
+        rest = None
         for batch in batches:
-            for word, *row in zip(*(batch.column(k).to_pylist() for k in ("term", "tf", "doc_id", "no")), strict=True):
-                if rows and (word != term or len(rows) == BLOCK):
-                    yield block()
-                    rows = []
-                term = word
-                rows.append(row)
-        if rows:
-            yield block()
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            starts = block_starts(rows, BLOCK)
+            # The last block may go on in the next batch.
+            if len(starts) > 1:
+                yield packed_blocks(rows.slice(0, starts[-1]), starts[:-1])
+            rest = rows.slice(starts[-1]) if len(starts) else rest
+        if rest is not None:
+            yield packed_blocks(rest, np.zeros(1, np.int64))
 
     counts = chunks.select("doc_id", "no", F.explode(search.term_counts(F.col("text"))).alias("c")).select("doc_id", "no", "c.*")
     by_impact = ["term", F.desc("tf"), "doc_id", "no"]
     return counts.repartitionByRange(*by_impact).sortWithinPartitions(*by_impact).mapInArrow(pack, POSTINGS)
 
 
+def block_starts(rows: pa.Table, most: int) -> np.ndarray:
+    """Where terms of sorted ``rows`` begin, and go on after ``most`` postings."""
+    code = pa.concat_arrays(rows.column("term").chunks).dictionary_encode().indices.to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, np.int32)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return np.flatnonzero((np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))) % most == 0)
+
+
+def packed_blocks(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """A row of ``POSTINGS`` for each block of sorted postings."""
+    term, tf, doc_id, no = (pa.concat_arrays(rows.column(k).chunks) for k in ("term", "tf", "doc_id", "no"))
+    ends = np.append(starts, rows.num_rows)
+    postings = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([doc_id, no, tf], names=["doc_id", "no", "tf"]))
+    at = pa.array(starts)
+    return pa.RecordBatch.from_arrays([term.take(at), tf.take(at), pa.array(np.diff(ends), pa.int32()), postings], names=["term", "most", "n", "postings"])
+
+
+def asked_blocks(index: Index, asked: DataFrame) -> DataFrame:
+    """The blocks, with their segment, of the terms of ``asked``, and of few others if these are many."""
+    terms = [r.term for r in asked.select("term").distinct().limit(PUSHED + 1).collect()]
+    blocks = index._live("postings", POSTINGS)
+    return blocks.filter(F.col("term").isin(terms)) if len(terms) <= PUSHED else blocks
+
+
 def planned_blocks(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, term, n_terms, most, n, postings, segment, floor, used: the blocks of each query's terms, and which are read.
 
@@ -237,15 +261,15 @@ def planned_blocks(index: Index, queries: DataFrame, k: int) -> DataFrame:
     together.  Blocks carry up to ``BLOCK`` postings, so a hot term is few rows.
     """
     asked = search.query_terms(queries, 2)
-    terms = [r.term for r in asked.select("term").distinct().limit(PUSHED + 1).collect()]
-    blocks = index._live("postings", POSTINGS)
-    met = (blocks.filter(F.col("term").isin(terms)) if len(terms) <= PUSHED else blocks).join(small(asked, asked.count()), "term")
+    n = asked.count()
+    met = asked_blocks(index, asked).join(small(asked, n), "term")
     tops = met.groupBy("query_id", "term").agg(F.max("most").alias("top"))
     others = tops.select("query_id", "term", (F.sum("top").over(Window.partitionBy("query_id")) - F.col("top")).alias("others"))
     look = met.groupBy("query_id", "term").agg(F.max_by(F.struct("segment", "postings"), F.struct("most", "n")).alias("b"))
     sums = _sums(index, look.select("query_id", "b.segment", "b.postings"))
     floor = vectors.top_k(sums, k, "query_id", F.desc("got"), "doc_id", "no").filter(F.col("rank") == k).select("query_id", F.col("got").alias("floor"))
-    planned = met.join(others, ["query_id", "term"]).join(floor, "query_id", "left")
+    # Neither has more rows than the queries have terms, so the blocks stay where they are.
+    planned = met.join(small(others, n), ["query_id", "term"]).join(small(floor, n), "query_id", "left")
     return planned.withColumn("used", F.col("most") + F.col("others") >= F.coalesce("floor", F.lit(0))).drop("others")
 
 
@@ -259,8 +283,15 @@ def keyword_search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, doc_id, chunk_no, score as ``search.keyword_search`` over all chunks, from the blocks that are used.
 
     Sums are scores where all of a query's blocks were used; where some were not,
-    candidates that can still be among the best are counted in their own text.
+    candidates that can still be among the best are counted in their own text.  Where many
+    queries share their terms, skipping blocks for each saves less than their sums cost: all
+    postings of their terms are read, see ``keyword_search_together``.
     """
+    asked = search.query_terms(queries, 2)
+    asking = asked.groupBy("term").agg(F.count("*").alias("queries"))
+    sizes = asked_blocks(index, asked).join(small(asking, asked.count()), "term").agg(F.sum(F.col("n") * F.col("queries")), F.sum("n")).first()
+    if sizes[0] and sizes[0] > SHARED * sizes[1]:
+        return keyword_search_together(index, queries, k)
     blocks = planned_blocks(index, queries, k)
     sums = _sums(index, blocks.filter("used"))
     left = blocks.filter("NOT used").groupBy("query_id", "term").agg(F.max("most").alias("most")).groupBy("query_id").agg(F.sum("most").alias("left"))
@@ -277,7 +308,23 @@ def keyword_search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     return vectors.top_k(scored, k, "query_id", F.desc("score"), "doc_id", "chunk_no").select("query_id", "rank", "doc_id", "chunk_no", "score")
 
 
+def keyword_search_together(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """As ``keyword_search``, from all postings of the queries' terms.
+
+    Each posting is dealt out once, by its document, whatever the number of queries that ask for
+    its term; tasks keep their k best chunks of each query, so pairs of both are not shuffled.
+    """
+    asked = search.query_terms(queries, 2)
+    terms = asked.select("term").distinct()
+    blocks = asked_blocks(index, asked).join(small(terms, terms.count()), "term", "left_semi")
+    rows = index._without_dead(blocks.select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.*"))
+    words = F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int"))))
+    chunks = rows.select("doc_id", F.col("no").alias("chunk_no"), "term", "tf").repartition("doc_id").groupBy("doc_id", "chunk_no").agg(words.alias("_terms"))
+    own = queries.select("query_id", F.array_distinct(tx.terms(F.col("text"), 2)).alias("t"))
+    return search.best_items(chunks, own, "doc_id", "chunk_no", k=k)
+
+
 def keyword_report(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, postings, postings_used: what each query's terms have, and what of it is read."""
+    """query_id, postings, postings_used: what each query's terms have, and what of it is read for this query by itself."""
     used = F.sum(F.when(F.col("used"), F.col("n")).otherwise(0))
     return planned_blocks(index, queries, k).groupBy("query_id").agg(F.sum("n").cast("long").alias("postings"), used.cast("long").alias("postings_used"))

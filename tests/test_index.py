@@ -131,3 +131,33 @@ def test_many_asked_documents_are_found_by_bits(spark, tmp_path, docs, monkeypat
     assert rows(index.answers(asked)) == wanted
     snippets = index.snippets(asked)
     assert snippets.filter("rank > 3").count() == 0 and snippets.select("query_id").distinct().count() == len(docs) - 2
+
+
+def test_postings_are_dealt_out_once_for_queries_that_share_terms(spark, tmp_path, docs, monkeypatch):
+    index = ix.Index(spark, str(tmp_path))
+    index.merge(table(spark, docs.items()))
+    index.merge(table(spark, ({**docs, 3: text(5000), 300: text(5001)}).items()))
+    queries = spark.createDataFrame([(i, text(i + 2000)[:80]) for i in range(40)] + [(40, ""), (41, "zebra")], "query_id long, text string")
+    apart = []
+    monkeypatch.setattr(ix, "_sums", lambda *_, own=ix._sums: apart.append(1) or own(*_))
+    found = rows(index.keyword_search(queries))
+    assert not apart  # no pair of a query and a posting is a row
+    monkeypatch.setattr(ix, "SHARED", 1000)
+    assert rows(index.keyword_search(queries)) == found and apart
+
+
+def test_blocks_go_on_over_batches(spark, monkeypatch):
+    rows_ = [(d, "chunk", n, f"{'alpha ' * (d % 3 + 1)}w{d % 7} beta") for d in range(30) for n in range(4)]
+    chunks = spark.createDataFrame(rows_, "doc_id long, kind string, no long, text string")
+    monkeypatch.setattr(ix, "BLOCK", 5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (3, 5, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            blocks = ix.posting_blocks(chunks).collect()
+            assert all(b.n == len(b.postings) <= 5 and b.most == b.postings[0].tf == max(p.tf for p in b.postings) for b in blocks)
+            got = sorted((b.term, p.doc_id, p.no, p.tf) for b in blocks for p in b.postings)
+            assert got == sorted((w, d, n, t.split().count(w)) for d, _, n, t in rows_ for w in set(t.split()))
+            assert sum(b.n == 5 for b in blocks) >= 300 // 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
